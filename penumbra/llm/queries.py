@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.llm.shared import table
+from penumbra.llm.shared import crc32_residue, table
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,30 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(manifest, folder)
 
 
+def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.languages import fit, predict
+    from penumbra.llm.samples import labelled_sample
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_residue("doc_id", 4) == 2
+    sample = labelled_sample(docs, docs, ~held_out, "lang", max_per_class=400, max_classes=64)
+    model = fit([text for text, _ in sample], [lang for _, lang in sample])
+    rows = predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.suffixes import find_matches
+
+    found = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penumbra.llm.ring import shard_rows
 
@@ -32,6 +56,23 @@ def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def toxicity_network(docs: DataFrame, labels: DataFrame):
+    """The network of operator 9, from labels whose crc32 residue mod 3 is not 1."""
+    from penumbra.llm.samples import labelled_sample
+    from penumbra.llm.toxicity import fit
+
+    sample = labelled_sample(docs, labels, crc32_residue("doc_id", 3) != 1, "toxic", max_per_class=2000, max_classes=2)
+    return fit([text for text, _ in sample], [toxic == 1 for _, toxic in sample])
+
+
+def op9_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.toxicity import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = score(docs, toxicity_network(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (crc32_residue("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

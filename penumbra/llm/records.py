@@ -111,7 +111,7 @@ def encode_texts(tokenizer, cache: dict[bytes, bytes], texts: pa.Array, end_id:
     of its words in turn. A text that may hold a special token is encoded whole.
     """
     words = split_words(texts, LOWER)
-    vocab = _ids_of_words(tokenizer, cache, words.vocab, dtype) + [np.array([end_id], dtype).tobytes()]
+    vocab = _ids_of_words(tokenizer, cache, words.vocab.to_pylist(), dtype) + [np.array([end_id], dtype).tobytes()]
     sizes = np.fromiter(map(len, vocab), np.int32, len(vocab)) // dtype().itemsize
     ids = np.frombuffer(b"".join(vocab), dtype)
     starts = (np.cumsum(sizes) - sizes).astype(np.int32)

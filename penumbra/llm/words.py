@@ -24,7 +24,7 @@ class Words(NamedTuple):
 
     codes: np.ndarray
     offsets: np.ndarray
-    vocab: list[bytes]
+    vocab: pa.Array
 
 
 def _rewritten(texts: pa.Array, table: bytes) -> pa.Array:
@@ -52,7 +52,7 @@ def split_words(texts: pa.Array, table: bytes) -> Words:
     coded = flat.cast(pa.binary()).dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    return Words(coded.indices.to_numpy(), offsets, coded.dictionary.to_pylist())
+    return Words(coded.indices.to_numpy(), offsets, coded.dictionary)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
