@@ -61,7 +61,7 @@ def toxicity_network(docs: DataFrame, labels: DataFrame):
     from penumbra.llm.samples import labelled_sample
     from penumbra.llm.toxicity import fit
 
-    sample = labelled_sample(docs, labels, crc32_residue("doc_id", 3) != 1, "toxic", max_per_class=2000, max_classes=2)
+    sample = labelled_sample(docs, labels, crc32_residue("doc_id", 3) != 1, "toxic", max_per_class=1500, max_classes=2)
     return fit([text for text, _ in sample], [toxic == 1 for _, toxic in sample])
 
 

@@ -224,7 +224,7 @@ def _start_vectors(p: Parameters, lexicon: Lexicon, words: Words, toxic: np.ndar
         p[name][0] = 0
 
 
-def fit(texts: list[str], toxic: list[bool], epochs: int = 6, rate: float = 0.01, docs_a_step: int = 64, seed: int = 5) -> Parameters | None:
+def fit(texts: list[str], toxic: list[bool], epochs: int = 4, least_steps: int = 240, rate: float = 0.01, docs_a_step: int = 64, seed: int = 5) -> Parameters | None:
     """Train the network on whole texts; None if either class is missing."""
     label, rng = np.array(toxic, bool), np.random.default_rng(seed)
     if not label.any() or label.all():
@@ -235,9 +235,11 @@ def fit(texts: list[str], toxic: list[bool], epochs: int = 6, rate: float = 0.01
     doc, first, count = windows(words.offsets)
     begin = np.searchsorted(doc, np.arange(len(texts) + 1))
     first_moment, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    step, steps = 0, epochs * (len(texts) // docs_a_step + 1)
+    in_epoch = len(texts) // docs_a_step + 1
+    epochs = max(epochs, -(-least_steps // in_epoch))
+    step, steps = 0, epochs * in_epoch
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(texts)), len(texts) // docs_a_step + 1):
+        for batch in np.array_split(rng.permutation(len(texts)), in_epoch):
             if not len(batch):
                 continue
             step += 1
