@@ -19,6 +19,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(manifest, folder)
 
 
+def op2_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.jaccard import classes_and_links
+
+    found = classes_and_links(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penumbra.llm.languages import fit, predict
     from penumbra.llm.samples import labelled_sample
@@ -43,6 +50,13 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.lines import dedup_lines
+
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penumbra.llm.ring import shard_rows
 
@@ -73,6 +87,47 @@ def op9_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (crc32_residue("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: Target weights of the tree of documents: domains, their languages, and their sources alike.
+DOMAIN_WEIGHTS = {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}
+LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def domain_of(source_col: str = "source"):
+    """Sources are dealt to four domains by the number in their name."""
+    return F.concat(F.lit("d"), F.coalesce(F.regexp_extract(source_col, r"(\d+)$", 1).try_cast("int") % 4, F.lit(0)).cast("string"))
+
+
+def mixing_weights() -> dict[tuple, float]:
+    weights: dict[tuple, float] = {(d,): w for d, w in DOMAIN_WEIGHTS.items()}
+    return weights | {(d, lang): w for d in DOMAIN_WEIGHTS for lang, w in LANGUAGE_WEIGHTS.items()}
+
+
+def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.budgets import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain_of())
+    chosen = mix(docs, ["domain", "lang", "source"], mixing_weights(), share=0.6, max_epochs=2, seed=11)
+    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.quality import features, judge
+    from penumbra.llm.shared import settle
+
+    measured = settle(features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
+    return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.mixing_lm import SAMPLE_TEXTS, score
+    from penumbra.llm.samples import text_sample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_residue("doc_id", 5) == 1
+    scored = score(docs, ~held_out, text_sample(docs, ~held_out, SAMPLE_TEXTS))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

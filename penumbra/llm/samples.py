@@ -34,3 +34,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, class_col
     texts = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col("_id"))  # as many ids as the sample has rows
     found = texts.select(text_col, "_class").limit(2 * len(picked)).collect()
     return sorted(((r[0], r[1]) for r in found), key=lambda r: (r[0], str(r[1])))
+
+
+def text_sample(docs: DataFrame, learn: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """At most ``most`` texts of rows that may be learned from, by the least hash of their id; null texts are left out."""
+    rows = docs.filter(learn & F.col(text_col).isNotNull()).withColumn("_h", F.pmod(F.xxhash64(id_col), F.lit(_STEPS)))
+    total = rows.count()
+    share = min(1.0, (1.2 * most + 20) / max(1, total))
+    found = rows.filter(F.col("_h") < int(share * _STEPS) + 1).select("_h", text_col).limit(2 * most + 100).collect()
+    return [r[1] for r in sorted(found, key=lambda r: (r[0], r[1]))[:most]]
