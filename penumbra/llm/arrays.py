@@ -21,15 +21,26 @@ def chunk_columns(k: int, array: np.ndarray) -> dict[str, pa.Array]:
         "k": pa.array([k] * n, pa.int32()),
         "at": pa.array(at, pa.int32()),
         "part": pa.array([part] * n, pa.int32()),
-        "counts": pa.array([array[i : i + CHUNK].astype(np.float32).tobytes() for i in at], pa.binary()),
+        "counts": pa.array([_packed(array[i : i + CHUNK]) for i in at], pa.binary()),
     }
 
 
+def _packed(chunk: np.ndarray) -> bytes:
+    """Small whole numbers take two bytes each, other values four."""
+    if 0 <= chunk.min() and chunk.max() < 65_536 and (chunk == np.floor(chunk)).all():
+        return b"H" + chunk.astype(np.uint16).tobytes()
+    return b"f" + chunk.astype(np.float32).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if data[:1] == b"H" else np.float32, offset=1).astype(np.float32)
+
+
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(group["counts"].iloc[0]) // 4, np.float32)
-    for x in group["counts"]:
-        total += np.frombuffer(x, np.float32)
-    return pd.DataFrame({"k": group["k"].iloc[:1], "at": group["at"].iloc[:1], "part": group["part"].iloc[:1] * 0, "counts": [total.tobytes()]})
+    total = _unpacked(group["counts"].iloc[0])
+    for x in group["counts"].iloc[1:]:
+        total += _unpacked(x)
+    return pd.DataFrame({"k": group["k"].iloc[:1], "at": group["at"].iloc[:1], "part": group["part"].iloc[:1] * 0, "counts": [_packed(total)]})
 
 
 def summed(parts: DataFrame, arrays: list[np.ndarray]) -> list[np.ndarray]:
@@ -40,5 +51,5 @@ def summed(parts: DataFrame, arrays: list[np.ndarray]) -> list[np.ndarray]:
     for keys in (("k", "at", "part"), ("k", "at")):
         parts = parts.groupBy(*keys).applyInPandas(_sum, SCHEMA)
     for r in parts.toLocalIterator():
-        arrays[r["k"]][r["at"] : r["at"] + CHUNK] += np.frombuffer(bytes(r["counts"]), np.float32)
+        arrays[r["k"]][r["at"] : r["at"] + CHUNK] += _unpacked(bytes(r["counts"]))
     return arrays

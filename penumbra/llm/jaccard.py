@@ -18,7 +18,9 @@ shingle's group that has the fewest rarer shingles before it, and against its
 neighbour: linear in the group. Then only candidates between different
 components found so far are joined and verified. This loses no connection:
 linked sets are either in one component already, or a candidate of the second
-step.
+step. Its join also compares bit maps of the sets: a bit that only one set has
+set stands for a shingle that the other lacks, so pairs with too many of them
+cannot link and leave the join at once.
 
 Null texts and texts without words have the empty set and no links. Texts of
 fewer words than a shingle have one shingle, the whole. A null id is in no
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penumbra.llm.arrays import CHUNK, SCHEMA, chunk_columns, summed
+from penumbra.llm.arrays import SCHEMA, chunk_columns, summed
 from penumbra.llm.graphs import components
 from penumbra.llm.shared import settle
 from penumbra.llm.words import LOWER, slices, split_words
@@ -45,6 +47,8 @@ from penumbra.llm.words import LOWER, slices, split_words
 SLICE_BYTES = 12 << 20
 #: Buckets of the sketch of shingle counts, and the largest number of matches asked for.
 BUCKETS, MOST_MATCHES = 1 << 22, 4
+#: Longs in the bit map of a set.
+MAP_LONGS = 16
 #: Cost of one verification, in rows of the join on shingles.
 VERIFY_COST = 50
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # fixed values of multiplicative hashing
@@ -143,12 +147,40 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", SLICE_BYTES):
-        sets = shingle_sets(batch.column("text"), size)
-        offsets = np.cumsum([0] + [len(s) for s in sets])
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(flat))], ["doc_id", "hashes"])
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """``MAP_LONGS`` longs with the bits of all hashes."""
+    mask = np.zeros(64 * MAP_LONGS, bool)
+    mask[(s & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64)] = True
+    return np.packbits(mask, bitorder="little").view(np.int64)
+
+
+def _id_bucket(ids: np.ndarray) -> np.ndarray:
+    return bucket((ids.astype(np.int64).view(np.uint64) + _K2) * _K1)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of an array that is not zero where an id falls."""
+    marks = np.zeros(BUCKETS, np.float32)
+    for batch in batches:
+        marks[_id_bucket(batch.column("doc_id").to_numpy())] = 1
+    yield pa.RecordBatch.from_pydict(chunk_columns(0, marks))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Sets and bit maps of documents whose id may be wanted; ``wanted`` is a packed array of bits by id."""
+    bits = np.unpackbits(wanted.value).astype(bool)
+    for whole in batches:
+        batch = whole.filter(pa.array(bits[_id_bucket(whole.column("doc_id").to_numpy())]))
+        for part in slices(iter([batch]), "text", SLICE_BYTES):
+            sets = shingle_sets(part.column("text"), size)
+            offsets = np.cumsum([0] + [len(s) for s in sets])
+            maps = np.concatenate([bit_map(s) for s in sets])
+            columns = [
+                part.column("doc_id"),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(np.concatenate(sets))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * MAP_LONGS, pa.int32()), pa.array(maps, pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes", "bits"])
 
 
 def _near(percent: int):
@@ -161,6 +193,13 @@ def _near(percent: int):
     )
 
 
+def _maps_near(percent: int):
+    """Whether the bit maps leave room for the overlap that a link needs."""
+    need = f"ceil({percent} * (a.n + b.n) / {100 + percent}D)"
+    lacking = [" + ".join(f"bit_count({x}.b{k} & ~{y}.b{k})" for k in range(MAP_LONGS)) for x, y in (("a", "b"), ("b", "a"))]
+    return F.expr(f"{lacking[0]} <= a.n - {need} AND {lacking[1]} <= b.n - {need}")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are near enough."""
     a, b = (sets.select(F.col("doc_id").alias(k), F.col("hashes").alias(f"{k}_set")) for k in ("u", "v"))
@@ -201,18 +240,21 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         edges = pairs if edges is None else edges.unionByName(pairs)
     first = settle(edges.groupBy("u", "v").agg(F.count("*").alias("m")).filter("m > 1").select("u", "v"), "pairs")
 
-    candidates = shared_tokens.select("doc_id").distinct()
-    texts = rows.join(candidates, "doc_id", "left_semi")
-    sets = settle(texts.mapInArrow(partial(_sets, size=size), "doc_id long, hashes array<long>"), "hashes")
+    # the sets of documents with shared prefix shingles, found by a bit for each hashed id; others that meet a bit are not joined
+    (marks,) = summed(shared_tokens.select("doc_id").mapInArrow(_mark, SCHEMA), [np.zeros(BUCKETS, np.float32)])
+    wanted = spark.sparkContext.broadcast(np.packbits(marks > 0))
+    texts = rows.filter("doc_id IS NOT NULL")
+    sets = settle(texts.mapInArrow(partial(_sets, size=size, wanted=wanted), "doc_id long, hashes array<long>, bits array<long>"), "hashes")
     links = settle(_verified(first, sets, percent), "links")
     found = components(links)
 
     # the second step: candidates between different components
     placed = shared_tokens.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
     mixed = placed.withColumns({"_low": F.min("component").over(group), "_high": F.max("component").over(group)}).filter("_low < _high").drop("_low", "_high")
-    mixed = settle(mixed, "mixed")
+    maps = sets.select("doc_id", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(MAP_LONGS)))
+    mixed = settle(mixed.join(maps, "doc_id"), "mixed")
     a, b = mixed.alias("a"), mixed.alias("b")
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _near(percent))
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _near(percent) & _maps_near(percent))
     counted = across.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(F.count("*").alias("m"), F.min(F.least("a.ask", "b.ask")).alias("ask"))
     more = _verified(counted.filter("m >= ask").select("u", "v"), sets, percent)
     found = components(links.unionByName(more))
