@@ -84,7 +84,8 @@ class Shard:
         self.keys = np.zeros(len(self.codes), np.int64)
         for k in range(self.depth):
             self.keys <<= self.bits
-            self.keys[: len(self.codes) - k] |= self.codes[k:] if k else self.codes
+            if k < len(self.codes):
+                self.keys[: len(self.codes) - k] |= self.codes[k:]
         self.array = np.argsort(self.keys).astype(np.int64)
 
     def _key(self, at: np.ndarray) -> np.ndarray:
