@@ -44,7 +44,7 @@ from penumbra.llm.graphs import components
 from penumbra.llm.shared import settle
 from penumbra.llm.words import LOWER, slices, split_words
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 #: Buckets of the sketch of shingle counts, and the largest number of matches asked for.
 BUCKETS, MOST_MATCHES = 1 << 22, 4
 #: Longs in the bit map of a set.
@@ -166,23 +166,41 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict(chunk_columns(0, marks))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
-    """Sets and bit maps of documents whose id may be wanted; ``wanted`` is a packed array of bits by id."""
-    bits = np.unpackbits(wanted.value).astype(bool)
+def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted, mapped) -> Iterator[pa.RecordBatch]:
+    """The sets of documents whose id may be wanted, and the bit maps of those and of documents that may be mapped.
+
+    Both are packed arrays of bits by hashed id.
+    """
+    want, either = (np.unpackbits(x).astype(bool) for x in (wanted.value, wanted.value | mapped.value))
     for whole in batches:
-        batch = whole.filter(pa.array(bits[_id_bucket(whole.column("doc_id").to_numpy())]))
+        batch = whole.filter(pa.array(either[_id_bucket(whole.column("doc_id").to_numpy())]))
         for part in slices(iter([batch]), "text", SLICE_BYTES):
-            sets = shingle_sets(part.column("text"), size)
-            offsets = np.cumsum([0] + [len(s) for s in sets])
+            sets, keep = shingle_sets(part.column("text"), size), want[_id_bucket(part.column("doc_id").to_numpy())]
+            held = [s if k else s[:0] for s, k in zip(sets, keep, strict=True)]
+            offsets = np.cumsum([0] + [len(s) for s in held])
             maps = np.concatenate([bit_map(s) for s in sets])
             columns = [
                 part.column("doc_id"),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(np.concatenate(sets))),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(np.concatenate(held))),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * MAP_LONGS, pa.int32()), pa.array(maps, pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes", "bits"])
 
 
+def _marked(ids: DataFrame):
+    """A broadcast of packed bits by hashed id: a fixed size, whatever the number of ids (column doc_id)."""
+    (marks,) = summed(ids.mapInArrow(_mark, SCHEMA), [np.zeros(BUCKETS, np.float32)])
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(marks > 0))
+
+
+def _sets_of(texts: DataFrame, pairs: DataFrame, size: int, mapped: DataFrame | None = None) -> DataFrame:
+    """Written sets of the documents in ``pairs``, and bit maps of those in ``mapped`` besides."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+    wanted = _marked(ends)
+    marks = partial(_sets, size=size, wanted=wanted, mapped=wanted if mapped is None else _marked(mapped))
+    return settle(texts.mapInArrow(marks, "doc_id long, hashes array<long>, bits array<long>"), "hashes")
+
+
 def _near(percent: int):
     """Whether rows a and b of a shared shingle can be of a linked pair that shares l of them."""
     need = f"ceil({percent} * (a.n + b.n) / {100 + percent}D)"
@@ -194,10 +212,9 @@ def _near(percent: int):
 
 
 def _maps_near(percent: int):
-    """Whether the bit maps leave room for the overlap that a link needs."""
-    need = f"ceil({percent} * (a.n + b.n) / {100 + percent}D)"
-    lacking = [" + ".join(f"bit_count({x}.b{k} & ~{y}.b{k})" for k in range(MAP_LONGS)) for x, y in (("a", "b"), ("b", "a"))]
-    return F.expr(f"{lacking[0]} <= a.n - {need} AND {lacking[1]} <= b.n - {need}")
+    """Whether the bit maps leave room for the overlap that a link needs: bits that differ stand for shingles that differ."""
+    differ = " + ".join(f"bit_count(a.b{k} ^ b.b{k})" for k in range(MAP_LONGS))
+    return F.expr(f"{differ} <= a.n + b.n - 2 * ceil({percent} * (a.n + b.n) / {100 + percent}D)")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,11 +257,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         edges = pairs if edges is None else edges.unionByName(pairs)
     first = settle(edges.groupBy("u", "v").agg(F.count("*").alias("m")).filter("m > 1").select("u", "v"), "pairs")
 
-    # the sets of documents with shared prefix shingles, found by a bit for each hashed id; others that meet a bit are not joined
-    (marks,) = summed(shared_tokens.select("doc_id").mapInArrow(_mark, SCHEMA), [np.zeros(BUCKETS, np.float32)])
-    wanted = spark.sparkContext.broadcast(np.packbits(marks > 0))
     texts = rows.filter("doc_id IS NOT NULL")
-    sets = settle(texts.mapInArrow(partial(_sets, size=size, wanted=wanted), "doc_id long, hashes array<long>, bits array<long>"), "hashes")
+    sets = _sets_of(texts, first, size, shared_tokens.select("doc_id"))
     links = settle(_verified(first, sets, percent), "links")
     found = components(links)
 
@@ -256,7 +270,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     a, b = mixed.alias("a"), mixed.alias("b")
     across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _near(percent) & _maps_near(percent))
     counted = across.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(F.count("*").alias("m"), F.min(F.least("a.ask", "b.ask")).alias("ask"))
-    more = _verified(counted.filter("m >= ask").select("u", "v"), sets, percent)
+    second = settle(counted.filter("m >= ask").select("u", "v"), "pairs")
+    more = _verified(second, _sets_of(texts, second, size), percent)
     found = components(links.unionByName(more))
 
     labelled = classes.join(found, F.col("class_id") == F.col("node"), "left").select("key1", "key2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
