@@ -202,21 +202,30 @@ def logits(p: Parameters, vectors: np.ndarray, codes: np.ndarray, first: np.ndar
     return out
 
 
+def _seen_by_class(words: Words, toxic: np.ndarray, parts: list, buckets: int, docs_at_a_time: int = 64) -> np.ndarray:
+    """How many texts of each class hold each bucket, counted a few texts at a time."""
+    seen = np.zeros((2, buckets))
+    for d in range(0, len(toxic), docs_at_a_time):
+        some = words.offsets[d : d + docs_at_a_time + 1]
+        doc = np.repeat(np.arange(len(some) - 1), np.diff(some))
+        pairs = np.unique(doc * (len(words.vocab) + 1) + words.codes[some[0] : some[-1]])
+        doc, word = pairs // (len(words.vocab) + 1), pairs % (len(words.vocab) + 1)
+        held = np.zeros((len(some) - 1, buckets), bool)
+        for bucket, first in parts:
+            sizes = np.diff(np.append(first, len(bucket)))[word]
+            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[word], sizes)
+            held[np.repeat(doc, sizes), bucket[at]] = True
+        label = toxic[d : d + docs_at_a_time]
+        seen += np.stack([held[~label].sum(0), held[label].sum(0)])
+    return seen
+
+
 def _start_vectors(p: Parameters, lexicon: Lexicon, words: Words, toxic: np.ndarray, rng) -> None:
     """Set the vectors of what the sample holds."""
     n = np.array([(~toxic).sum(), toxic.sum()])
-    doc = np.repeat(np.arange(len(toxic)), np.diff(words.offsets))
-    pairs = np.unique(doc * (lexicon.size + 1) + words.codes)
-    doc, word = pairs // (lexicon.size + 1), pairs % (lexicon.size + 1)
     for name, buckets, parts in (("word", WORD_BUCKETS, [(lexicon.word, np.arange(lexicon.size))]), ("char", CHAR_BUCKETS, lexicon.grams)):
-        seen = np.zeros((2, buckets))
-        for bucket, first in parts:
-            sizes = np.diff(np.append(first, len(bucket)))[word]
-            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[word], sizes)
-            each = np.unique(np.repeat(doc, sizes) * buckets + bucket[at])
-            np.add.at(seen, (toxic[each // buckets].astype(int), each % buckets), 1)
-        share = np.minimum(seen / n[:, None], 1)
-        mean = np.minimum(seen.sum(0) / n.sum(), 1)
+        seen = _seen_by_class(words, toxic, parts, buckets)
+        share, mean = seen / n[:, None], seen.sum(0) / n.sum()
         error = np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n).sum())
         z = (share[1] - share[0]) / error
         p[name][:] = 0.02 * rng.standard_normal(p[name].shape) * (mean > 0)[:, None]
