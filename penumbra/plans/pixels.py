@@ -9,7 +9,10 @@ from penumbra.functions import atmosphere, colour, geo, spectral, units
 from penumbra.plans.registry import register
 from penumbra.plans.views import PIXELS, connections, CONNECTIONS, pixels, read
 
-B, G, R, N, E, S = (F.col(c) for c in ("blue", "green", "red", "nir", "rededge", "swir"))
+
+def band_columns() -> tuple:
+    """Blue, green, red, near infrared, red edge and short-wave infrared."""
+    return tuple(F.col(c) for c in ("blue", "green", "red", "nir", "rededge", "swir"))
 
 
 def rounded(df: DataFrame, columns: dict, keys: tuple[str, ...] = ("i", "j"), digits: int = 12) -> DataFrame:
@@ -18,7 +21,7 @@ def rounded(df: DataFrame, columns: dict, keys: tuple[str, ...] = ("i", "j"), di
 
 
 def rounded_sql(source: str, columns: dict[str, str], keys: tuple[str, ...] = ("i", "j"), digits: int = 12) -> str:
-    return f"SELECT {', '.join(keys)}, {', '.join(f'round({c}, {digits}) AS {n}' for n, c in columns.items())} FROM {source}"
+    return f"SELECT {', '.join(keys)}, {', '.join(f'round({c}, {digits}) + 0e0 AS {n}' for n, c in columns.items())} FROM {source}"
 
 
 @register(
@@ -41,6 +44,7 @@ def rounded_sql(source: str, columns: dict[str, str], keys: tuple[str, ...] = ("
     }, digits=10),
 )
 def spectral_vegetation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B, G, R, N, E, S = band_columns()
     return rounded(pixels(spark, sf_dir), {
         "fai": spectral.floating_algae(R, N, S, 0.665, 0.865, 1.61),
         "afai": spectral.alternative_floating_algae(R, E, N),
@@ -67,6 +71,7 @@ def spectral_vegetation(spark: SparkSession, sf_dir: str) -> DataFrame:
     }),
 )
 def spectral_snow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, G, R, N, _, S = band_columns()
     return rounded(pixels(spark, sf_dir), {
         "scf": spectral.snow_cover_fraction(N, S), "sf": spectral.snow_fraction(R, S), "ndsi": spectral.snow_index(G, S), "ndsii": spectral.snow_ice_index(R, S),
         "s3": spectral.s3(R, N, S), "swi": spectral.snow_water(G, N, S), "agei": spectral.glacier_extraction(R, N, S),
@@ -78,6 +83,7 @@ def spectral_snow(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded_sql(PIXELS, {"ndwi": "coalesce((green - nir) / nullif(green + nir, 0), 0)", "mndwi": "(green - swir) / (green + swir)", "ndmi": "(nir - swir) / (nir + swir)", "ndbwi": "(blue - nir) / (blue + nir)"}, digits=10),
 )
 def spectral_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B, G, _, N, _, S = band_columns()
     return rounded(pixels(spark, sf_dir), {"ndwi": spectral.water_index(G, N), "mndwi": spectral.modified_water(G, S), "ndmi": spectral.moisture(N, S), "ndbwi": spectral.blue_water(B, N)}, digits=10)
 
 
@@ -116,6 +122,7 @@ _NDWI = "coalesce((green - nir) / nullif(green + nir, 0), 0)"
     }),
 )
 def shadow_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B, G, R, N, _, _ = band_columns()
     bands = {"blue": B, "green": G, "red": R, "nir": N}
     codes = ("siz", "shsv", "sycbcr", "syiq", "isi", "sei", "csi", "nsvdi", "sil", "mpsi", "c3", "gevers", "shi", "nri", "fri")
     return rounded(pixels(spark, sf_dir), {code: spectral.shadow_transform(code, **bands) for code in codes})
@@ -133,6 +140,7 @@ def shadow_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     }),
 )
 def colour_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B, G, R, _, _, _ = band_columns()
     names = ("yiq_y", "yiq_i", "yiq_q", "luma", "cb", "cr", "hue", "sat", "intensity", "x", "y", "z_xyz", "l", "m")
     columns = (*colour.yiq(R, G, B), *colour.ycbcr(R, G, B), *colour.hsi(R, G, B), *colour.xyz(R, G, B), *colour.rgb_to_lms(R, G, B)[:2])
     _, saturation, intensity = colour.erdas_hsi(B, G, R)
@@ -151,6 +159,7 @@ _LAB = "CASE WHEN {0} > 8856e-6 THEN pow({0}, 1e0 / 3) ELSE {0} * 7787e-3 + 16e0
  SELECT i, j, round(l, 5) AS l, round(a, 5) AS a, round(b, 5) AS b, round(sqrt(a * a + b * b), 5) AS chroma FROM q""",
 )
 def colour_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B, G, R, _, _, _ = band_columns()
     x, y, z = colour.xyz(R, G, B)
     lightness, a, b = colour.xyz_to_lab(x * 100, y * 100, z * 100)
     chroma, _ = colour.lab_to_lch(lightness, a, b)
@@ -259,6 +268,7 @@ def units_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     }),
 )
 def strain_and_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B, G, R, N, E, S = band_columns()
     e_max, e_min, _ = geo.principal_strain(B, G, R)
     major, _, _ = geo.error_ellipse(B, G, F.lit(0.5))
     q_ii, _, _ = geo.rotated_covariance(B, G, R, F.lit(30.0))

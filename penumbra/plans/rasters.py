@@ -36,7 +36,7 @@ def raster_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("raster_bilinear", f"""WITH p AS (SELECT id, least(greatest(-y, 0), 20) AS fi, least(greatest(x, 0), 39) AS fj FROM {_POINTS}), q AS (SELECT *, floor(fi) AS a, floor(fj) AS b FROM p),
  w AS (SELECT id, a + di AS i, b + dj AS j, (CASE WHEN di = 1 THEN fi - a ELSE 1 - (fi - a) END) * (CASE WHEN dj = 1 THEN fj - b ELSE 1 - (fj - b) END) AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(di, dj))
- SELECT id, round(sum(w * value), 6) AS z FROM w JOIN {_RASTER} r ON w.i = r.i AND w.j = r.j WHERE w > 0 GROUP BY id""")
+ SELECT id, round(CASE WHEN count(*) = count(value) THEN sum(w * value) END, 6) AS z FROM w LEFT JOIN {_RASTER} r ON w.i = r.i AND w.j = r.j WHERE w > 0 GROUP BY id""")
 def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rasters.sample_bilinear(points(spark, sf_dir), raster(spark, sf_dir), TRANSFORM, (21, COLS), "x", "y", "z", "id")
     return out.select("id", F.round("z", 6).alias("z"))
@@ -45,7 +45,7 @@ def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WINDOW = "SELECT a.i, a.j, {0} FROM {1} a {2} JOIN {1} b ON b.i BETWEEN a.i - {3} AND a.i + {3} AND b.j BETWEEN a.j - {3} AND a.j + {3} {4} GROUP BY a.i, a.j"
 
 
-@register("curvature", _WINDOW.format("round(CASE WHEN count(*) = 9 THEN sum(CASE WHEN a.i = b.i AND a.j = b.j THEN b.value ELSE -b.value / 8 END) END, 6) AS curvature", _RASTER, "", 1, ""))
+@register("curvature", _WINDOW.format("round(CASE WHEN count(*) = 9 THEN sum(CASE WHEN a.i = b.i AND a.j = b.j THEN b.value ELSE -b.value / 8 END) END, 6) + 0e0 AS curvature", _RASTER, "", 1, ""))
 def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.curvature(raster(spark, sf_dir)).select("i", "j", F.round("curvature", 6).alias("curvature"))
 

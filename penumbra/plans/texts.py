@@ -39,8 +39,8 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/?#]+/([a-z]{2})/", 1).alias("folder"))
 
 
-@register("conn_roundtrip", f"SELECT timestamp, round(x, 2) AS caster_X, round(y, 2) AS caster_Y, round(zenith, 3) AS zenith, caster_id FROM {CONNECTIONS}")
+@register("conn_roundtrip", f"SELECT timestamp, floor(x * 100 + 5e-1) / 100 AS caster_X, floor(y * 100 + 5e-1) / 100 AS caster_Y, floor(zenith * 1000 + 5e-1) / 1000 AS zenith, caster_id FROM {CONNECTIONS}")
 def conn_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections written as text and read back."""
-    c = connections(spark, sf_dir).select("timestamp", F.round("x", 2).alias("caster_X"), F.round("y", 2).alias("caster_Y"), F.round("zenith", 3).alias("zenith"), "caster_id")
+    c = connections(spark, sf_dir).select("timestamp", (F.floor(F.col("x") * 100 + 0.5) / 100).alias("caster_X"), (F.floor(F.col("y") * 100 + 0.5) / 100).alias("caster_Y"), (F.floor(F.col("zenith") * 1000 + 0.5) / 1000).alias("zenith"), "caster_id")
     return conn.read(spark, conn.write(c)).select("timestamp", "caster_X", "caster_Y", "zenith", F.col("caster_id").cast("bigint").alias("caster_id"))
