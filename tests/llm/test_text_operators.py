@@ -189,6 +189,39 @@ def test_line_dedup_against_brute_force(spark, docs, nothing):
     assert dedup_lines(nothing).count() == 0
 
 
+def test_near_lines_are_found_at_every_length(spark):
+    """Lines with one word or a few letters changed go, against edit similarity by brute force; others stay."""
+    from penumbra.llm.lines import dedup_lines
+
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
+    line = "this is a line of many words that repeats in other places"
+    rows, planted, n_of = [(0, line), (1, line.replace("many", "mani"))], {1: 0}, {1: 12}
+    for n in (5, 6, 8, 10, 20, 30, 50, 100):
+        for turn in range(40):
+            words = list(rng.choice(vocab, n))
+            near = words.copy()
+            for at in rng.choice(n, 1 if turn % 2 else max(1, n // 10), replace=False):
+                near[at] = rng.choice(vocab) if turn % 4 < 2 else near[at] + "x"
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(near))]
+            planted[len(rows) - 1], n_of[len(rows) - 1] = len(rows) - 2, n
+
+    def distance(a: str, b: str) -> int:
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    want = {k: distance(rows[k][1], rows[of][1]) <= 0.2 * max(len(rows[k][1]), len(rows[of][1])) + 1e-9 for k, of in planted.items()}
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {n: np.mean([got[k] for k in planted if n_of[k] == n and want[k]]) for n in set(n_of.values())}
+    assert min(recall.values()) >= 0.95, sorted((n, float(r)) for n, r in recall.items())
+    assert got[1] == 1 and not [k for k in got if got[k] and not want.get(k)]
+
+
 def test_simhash_matches_a_plain_count(spark):
     import xxhash
 
