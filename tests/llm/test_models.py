@@ -159,6 +159,17 @@ def test_bits_are_a_probability(docs):
     assert abs(total - 1) < 1e-9
 
 
+def test_every_table_counts_all_training_tokens(spark):
+    """The token so far, too, is counted for words met once or too rare to be held by every task."""
+    from penumbra.llm import mixing_lm as M
+
+    rows = [(0, b"ab", 5), (1, b"ab", 1), (2, b"once", 1), (0, M.END, 3)]
+    tables = M.context_tables(spark.createDataFrame(rows, "gate int, word binary, c long"), 2)
+    bits = sum(8 * c * (len(w) + (w != M.END)) for _, w, c in rows)
+    assert len(tables) == len(M.ORDERS) + 1
+    assert [float(t.sum()) for t in tables] == [bits] * len(tables)
+
+
 def test_filling_and_handing_down():
     assert fill(10, {"a": 1, "b": 1}, {"a": 2, "b": 100}) == {"a": 2, "b": 8}
     assert fill(10, {"a": 1, "b": 1}, {"a": 2, "b": 3}) == {"a": 2, "b": 3}
