@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from penumbra.llm.arrays import SCHEMA, chunk_columns, summed
 from penumbra.llm.graphs import components
-from penumbra.llm.shared import settle
+from penumbra.llm.shared import settle, unused
 from penumbra.llm.words import LOWER, slices, split_words
 
 SLICE_BYTES = 6 << 20
@@ -286,8 +286,20 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs``, all columns: of each component the row of the least id, and all rows of null id."""
-    found = classes_and_links(docs, id_col, text_col, size, percent)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of ``docs``, all columns: of each component those of the least id, and all rows of null id.
+
+    Rows that share an id are one document and stay or go together. Of such rows
+    with equal texts one stays, the least as JSON.
+    """
+    found = settle(classes_and_links(docs, id_col, text_col, size, percent).select("doc_id", "component_id"), "components")
+    gone, rows, twice = unused(docs, "gone", "rows", "twice")
+    removed = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    docs_id = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(removed, docs_id == F.col(gone), "left_anti")
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice))
+    if repeated.isEmpty():
+        return kept
+    single, many = (kept.join(repeated, docs_id == F.col(twice), how) for how in ("left_anti", "left_semi"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = many.groupBy(docs_id, F.col(f"`{text_col}`")).agg(F.min_by(row, F.to_json(row)).alias(rows))
+    return single.unionByName(least.select(f"{rows}.*"))

@@ -28,12 +28,11 @@ def op2_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penumbra.llm.languages import fit, predict
-    from penumbra.llm.samples import labelled_sample
+    from penumbra.llm.samples import fitted, labelled_sample
 
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_residue("doc_id", 4) == 2
-    sample = labelled_sample(docs, docs, ~held_out, "lang", max_per_class=400, max_classes=64)
-    model = fit([text for text, _ in sample], [lang for _, lang in sample])
+    model = fitted(labelled_sample(docs, docs, ~held_out, "lang", max_per_class=400), fit)
     rows = predict(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
@@ -72,11 +71,10 @@ def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_network(docs: DataFrame, labels: DataFrame):
     """The network of operator 9, from labels whose crc32 residue mod 3 is not 1."""
-    from penumbra.llm.samples import labelled_sample
+    from penumbra.llm.samples import fitted, labelled_sample
     from penumbra.llm.toxicity import fit
 
-    sample = labelled_sample(docs, labels, crc32_residue("doc_id", 3) != 1, "toxic", max_per_class=1500, max_classes=2)
-    return fit([text for text, _ in sample], [toxic == 1 for _, toxic in sample])
+    return fitted(labelled_sample(docs, labels, crc32_residue("doc_id", 3) != 1, "toxic", max_per_class=1500, most_classes=2), fit)
 
 
 def op9_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +110,8 @@ def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penumbra.llm.quality import features, judge
-    from penumbra.llm.shared import settle
 
-    measured = settle(features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
+    measured = features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 

@@ -1,43 +1,13 @@
-"""Where intermediate tables go, and how the text tables are read."""
+"""How the text tables are read, and names that clash with none of a table's columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penumbra.store import fresh_path, settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local master may run without the setting: a temporary folder is then
-    set for the session. A cluster without the setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        base = "file://" + tempfile.mkdtemp(prefix="penumbra-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path for one table in the shared folder."""
-    return f"{shared_dir(spark)}/penumbra/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back.
-
-    This cuts the lineage, so lost executors cost no recomputation, and the
-    table's size is known to the planner.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["crc32_residue", "fresh_path", "settle", "shared_dir", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc32_residue(id_col: str, modulus: int):
     """``crc32(id as text) mod modulus``; a null id has residue null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until it is none of ``df``'s columns, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -10,11 +10,14 @@ Training is by gradients through time on the worst window of each text of a
 mini-batch (Adam). The first coordinate of each vector starts from the
 difference of its n-gram's share among toxic and other texts of the sample, in
 standard errors; others start at small random values, and at zero for buckets
-that the sample lacks. The sample is bounded (``samples.labelled_sample``).
+that the sample lacks. The sample is bounded (``samples.labelled_sample``) and
+fitted in one task.
 
 Null, empty and wordless texts have one empty window and so the network's base
-score. Without labelled rows of both classes every score is the base 0. An
-empty table gives no rows.
+score. Without labelled rows of both classes every score is the base 0. Rows are
+scored one by one: repeated rows get the same, and long texts are scored whole.
+All other columns stay; the score replaces a column of its name. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +39,6 @@ SLICE_BYTES, BATCH = 8 << 20, 4096
 #: Lower-cases A-Z; ASCII characters that are neither letters nor digits separate words.
 _TABLE = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-ADDED = "score double"
-
 Parameters = dict[str, np.ndarray]
 
 
@@ -233,9 +234,9 @@ def _start_vectors(p: Parameters, lexicon: Lexicon, words: Words, toxic: np.ndar
         p[name][0] = 0
 
 
-def fit(texts: list[str], toxic: list[bool], epochs: int = 4, least_steps: int = 240, rate: float = 0.01, docs_a_step: int = 64, seed: int = 5) -> Parameters | None:
-    """Train the network on whole texts; None if either class is missing."""
-    label, rng = np.array(toxic, bool), np.random.default_rng(seed)
+def fit(texts: list[str], toxic: list, epochs: int = 4, least_steps: int = 240, rate: float = 0.01, docs_a_step: int = 64, seed: int = 5) -> Parameters | None:
+    """Train the network on whole texts, toxic where the label is 1; None if either class is missing."""
+    label, rng = np.array([x == 1 for x in toxic], bool), np.random.default_rng(seed)
     if not label.any() or label.all():
         return None
     p, words = fresh_parameters(seed), split_words(pa.array(texts, pa.string()), _TABLE)
@@ -295,20 +296,20 @@ def _vectors_of(p: Parameters, lexicon: Lexicon, used: np.ndarray) -> tuple[np.n
     return out, grams
 
 
-def score_texts(texts: pa.Array, network) -> dict[str, pa.Array]:
+def score_texts(texts: pa.Array, network, name: str) -> dict[str, pa.Array]:
     """The score of each text; ``network`` is a broadcast of the parameters or None."""
     p = network.value
     if p is None:
-        return {"score": pa.array(np.zeros(len(texts)), pa.float64())}
+        return {name: pa.array(np.zeros(len(texts)), pa.float64())}
     words = split_words(texts, _TABLE)
     doc, first, count = windows(words.offsets)
     out = logits(p, Lexicon(words).vectors(p), words.codes, first, count)
     worst = np.full(len(texts), -np.inf, np.float32)
     np.maximum.at(worst, doc, out)
-    return {"score": pa.array(sigmoid(worst.astype(np.float64)), pa.float64())}
+    return {name: pa.array(sigmoid(worst.astype(np.float64)), pa.float64())}
 
 
-def score(docs: DataFrame, network: Parameters | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the score."""
+def score(docs: DataFrame, network: Parameters | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score, a double called ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    return with_text_columns(docs, text_col, ADDED, partial(score_texts, network=shared), SLICE_BYTES)
+    return with_text_columns(docs, text_col, f"`{name}` double", partial(score_texts, network=shared, name=name), SLICE_BYTES)

@@ -50,11 +50,13 @@ def test_codewords_are_far_apart():
 
 def test_languages_are_told_apart(docs, nothing):
     from penumbra.llm.languages import fit, predict
-    from penumbra.llm.samples import labelled_sample
+    from penumbra.llm.samples import fitted, labelled_sample
 
-    sample = labelled_sample(docs, docs, F.col("doc_id") < 120, "lang", max_per_class=30, max_classes=8)
-    assert Counter(c for _, c in sample).most_common(1)[0][1] <= 31
-    model = fit([t for t, _ in sample], [c for _, c in sample])
+    sample = labelled_sample(docs, docs, F.col("doc_id") < 120, "lang", max_per_class=30)
+    assert {r["class"]: r["count"] for r in sample.groupBy("class").count().collect()} == dict.fromkeys(LANGUAGES, 30)
+    with pytest.raises(ValueError):
+        labelled_sample(docs, docs, F.col("doc_id") < 120, "lang", max_per_class=30, most_classes=2)
+    model = fitted(sample, fit)
     got = predict(docs, model)
     assert got.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score", "ambiguous", "margins"]
     found = {r["doc_id"]: r for r in got.collect()}
@@ -99,12 +101,11 @@ def test_windows_cover_every_word():
 
 
 def test_toxicity_generalises(docs, nothing, spark):
-    from penumbra.llm.samples import labelled_sample
+    from penumbra.llm.samples import fitted, labelled_sample
     from penumbra.llm.toxicity import fit, score
 
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(240)], "doc_id long, toxic int")
-    sample = labelled_sample(docs, labels, F.col("doc_id") % 3 != 1, "toxic", max_per_class=500, max_classes=2)
-    network = fit([t for t, _ in sample], [y == 1 for _, y in sample])
+    network = fitted(labelled_sample(docs, labels, F.col("doc_id") % 3 != 1, "toxic", max_per_class=500, most_classes=2), fit)
     found = {r["doc_id"]: r["score"] for r in score(docs, network).collect()}
     held = [k for k in range(240) if k % 3 == 1]
     toxic, clean = [found[k] for k in held if k % 4 == 0], [found[k] for k in held if k % 4]
