@@ -293,7 +293,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     found = settle(classes_and_links(docs, id_col, text_col, size, percent).select("doc_id", "component_id"), "components")
     gone, rows, twice = unused(docs, "gone", "rows", "twice")
-    removed = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    # written, so that its size is known and decides how it is joined
+    removed = settle(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "removed")
     docs_id = F.col(f"`{id_col}`").cast("long")
     kept = docs.join(removed, docs_id == F.col(gone), "left_anti")
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice))
