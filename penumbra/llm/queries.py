@@ -116,12 +116,11 @@ def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from penumbra.llm.mixing_lm import SAMPLE_TEXTS, score
-    from penumbra.llm.samples import text_sample
+    from penumbra.llm.mixing_lm import score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc32_residue("doc_id", 5) == 1
-    scored = score(docs, ~held_out, text_sample(docs, ~held_out, SAMPLE_TEXTS))
+    scored = score(docs, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

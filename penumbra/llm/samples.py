@@ -53,12 +53,3 @@ def fitted(sample: DataFrame, fit: Callable[[list[str], list], object]):
     """``fit(texts, classes)`` of a bounded sample (text, class), in one task; only the model reaches the driver."""
     made = sample.repartition(1).mapInArrow(partial(_fit, fit=fit), "model binary").first()
     return fit([], []) if made is None else pickle.loads(bytes(made["model"]))
-
-
-def text_sample(docs: DataFrame, learn: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """At most ``most`` texts of rows that may be learned from, by the least hash of their id; null texts are left out."""
-    rows = docs.filter(learn & F.col(text_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(_STEPS)).alias("h"), F.col(text_col).alias("text"))
-    total = rows.count()
-    share = min(1.0, (1.2 * most + 20) / max(1, total))
-    found = rows.filter(F.col("h") < int(share * _STEPS) + 1).limit(2 * most + 100).collect()
-    return [r[1] for r in sorted(found, key=lambda r: (r[0], r[1]))[:most]]

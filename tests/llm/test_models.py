@@ -117,10 +117,9 @@ def test_toxicity_generalises(docs, nothing, spark):
 
 def test_language_model_counts_exactly_and_beats_the_base(docs, nothing):
     from penumbra.llm import mixing_lm as M
-    from penumbra.llm.samples import text_sample
 
     learned = F.col("doc_id") % 5 != 1
-    out = M.score(docs, learned, text_sample(docs, learned, 100))
+    out = M.score(docs, learned)
     found = {r["doc_id"]: r for r in out.collect()}
     seen, tokens = Counter(), {}
     for k, text, *_ in ROWS + ODD:
@@ -136,7 +135,7 @@ def test_language_model_counts_exactly_and_beats_the_base(docs, nothing):
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and r["score"] < 0
     held = [k for k in range(240) if k % 5 == 1]
     assert np.mean([found[k]["score"] - found[k]["base_score"] for k in held]) > 0
-    assert M.score(nothing, learned, []).count() == 0
+    assert M.score(nothing, learned).count() == 0
 
 
 def test_bits_are_a_probability(docs):
@@ -146,7 +145,7 @@ def test_bits_are_a_probability(docs):
     tables = [np.zeros((s, 2), np.float32) for _, s in M.ORDERS] + [np.zeros((M.PREFIX_SLOTS, 2), np.float32)]
     words = [b"ab", b"ac", b"b"]
     M.count_contexts(words, np.zeros(3, np.int64), np.array([5.0, 2, 1]), tables, 0, len(tables))
-    model = M.fresh(tables, M.fit_classes([]), dict.fromkeys(words, 1), 8, 3)
+    model = M.fresh(tables, M.no_classes(), dict.fromkeys(words, 1), 8, 3)
     total = 0.0
     for byte in range(256):
         tokens = M.Coded(np.array([[byte]], np.uint8), np.array([1]), np.array([0], np.uint64))
@@ -160,6 +159,36 @@ def test_bits_are_a_probability(docs):
     assert abs(total - 1) < 1e-9
 
 
+def test_copies_and_word_order_change_the_score(spark):
+    """A text that occurs twice is foreseen by its copy; one that occurs once, or with its words shuffled, is not."""
+    from penumbra.llm import mixing_lm as M
+
+    texts = [prose(LANGUAGES["aa"] + LANGUAGES["bb"], 300, 900 + k) for k in range(60)]
+    mixed = np.random.default_rng(1).permutation(texts[0].split())
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, texts[0]), (101, texts[1]), (102, " ".join(mixed)), (103, texts[2].replace(texts[2].split()[150], "other", 1))]
+    learned = ~F.col("doc_id").isin(100, 102, 103)  # 1 and 101 are both learned from
+    found = {r["doc_id"]: r["score"] / r["n_tokens"] for r in M.score(spark.createDataFrame(rows, "doc_id long, text string"), learned).collect()}
+    once = [found[k] for k in range(2, 60)]
+    assert max(found[k] for k in (100, 1, 101, 103)) < 0
+    assert min(found[k] for k in (100, 1, 101)) > 0.3 * max(once) > max(once) and found[103] > 0.6 * max(once)
+    assert found[102] < 0.7 * max(once) and found[0] < 0.7 * max(once)
+
+
+def test_runs_are_told_by_their_words():
+    """Equal words behind equal words give equal runs, wherever they stand; own counts are of the text itself."""
+    import pyarrow as pa
+
+    from penumbra.llm import mixing_lm as M
+
+    a, b = prose(LANGUAGES["aa"], 400, 1), prose(LANGUAGES["bb"], 90, 2)
+    t = M.tokens_of(pa.array([a, f"{b} {a}", f"{a} {a}", ""]), M.no_classes())
+    runs = M.runs_of(t)
+    of = [set(zip(runs.context[x:y].tolist(), runs.run[x:y].tolist(), strict=True)) for x, y in zip(runs.offsets[:-1], runs.offsets[1:], strict=True)]
+    assert len(of[0]) > 5 and len(of[3]) == 1 and len(of[0] & of[1]) >= len(of[0]) - 3
+    assert (runs.own[runs.offsets[0] : runs.offsets[1]] == 1).all() and (runs.own[runs.offsets[2] : runs.offsets[3]] >= 2).any()
+    assert runs.offsets[-1] == len(runs.first) and np.diff(np.append(runs.first, len(t.codes))).sum() == len(t.codes)
+
+
 def test_every_table_counts_all_training_tokens(spark):
     """The token so far, too, is counted for words met once or too rare to be held by every task."""
     from penumbra.llm import mixing_lm as M
