@@ -233,7 +233,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     measured = settle(rows.mapInArrow(partial(_measure, size=size), f"doc_id long, n long, key1 long, key2 long, {SCHEMA}"), "sets")
-    (sketch,) = summed(measured.filter("counts IS NOT NULL").select("k", "at", "part", "counts"), [np.zeros(BUCKETS, np.float32)])
+    chunks = measured.filter("counts IS NOT NULL").select("k", "at", "part", "counts")
+    (sketch,) = summed(chunks, [np.zeros(BUCKETS, np.float32)], (chunks.agg(F.max("part")).first()[0] or 0) + 1)
     shared = spark.sparkContext.broadcast(sketch)
     named = measured.filter("n IS NOT NULL").select("doc_id", "n", "key1", "key2")
     classes = settle(named.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
