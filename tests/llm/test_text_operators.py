@@ -181,11 +181,14 @@ def test_line_dedup_against_brute_force(spark, docs, nothing):
 
     line = "this is a line of many words that repeats in other places"
     rows = [(1, f"{line}\nfirst own words that are here once only\nshort one"), (2, f"second own text with other words inside\n{line.upper()}!!"), (3, line.replace("many", "mani")), (4, None), (5, ""), (6, "short one"), (None, line)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_removed", F.lit("clash"))
-    found = {r["doc_id"]: r for r in dedup_lines(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_removed", F.lit("clash")).withColumn("of", F.lit("kept")).withColumn("gone", F.col("doc_id") + 1)
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "of", "gone", "n_removed"]
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert all(r["of"] == "kept" and (k is None or r["gone"] == k + 1) for k, r in found.items())
     assert found[1]["text"] == rows[0][1] and found[1]["n_removed"] == 0
     assert found[2]["text"] == "second own text with other words inside" and found[2]["n_removed"] == 1
-    assert found[4]["text"] is None and found[5]["text"] == "" and found[6]["text"] == "short one" and found[None]["text"] == line
+    assert found[4]["text"] is None and found[5]["text"] == "" and found[6]["text"] == "" and found[6]["n_removed"] == 1 and found[None]["text"] == line
     assert dedup_lines(nothing).count() == 0
 
 
@@ -222,14 +225,23 @@ def test_near_lines_are_found_at_every_length(spark):
     assert got[1] == 1 and not [k for k in got if got[k] and not want.get(k)]
 
 
+def test_short_lines_with_a_letter_changed_go(spark):
+    """Lines of one to four words: equal ones, and those that differ in a letter if that is a fifth at most."""
+    from penumbra.llm.lines import dedup_lines
+
+    rows = [(0, "abcdefgh"), (1, "abcdefxh"), (2, "abcdefg"), (3, "ab"), (4, "ax"), (5, "AB!"), (6, "one two three"), (7, "one twu three"), (8, "one four three"), (9, "..."), (10, "...")]
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1, 8: 0, 9: 0, 10: 0}
+
+
 def test_simhash_matches_a_plain_count(spark):
     import xxhash
 
     from penumbra.llm.lines import simhash
 
     lists = [[f"w{k * k % 97}" for k in range(n)] for n in (3, 40, 127, 128, 300)]
-    df = spark.createDataFrame([(k, w) for k, w in enumerate(lists)], "k int, w array<string>")
-    got = {r["k"]: r["h"] for r in df.select("k", simhash(F.col("w")).alias("h")).collect()}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lists)], "line int, norm string")
+    got = {r["line"]: r["sim"] for r in simhash(df).collect()}
     for k, words in enumerate(lists):
         votes = np.zeros(64)
         for w in words:
