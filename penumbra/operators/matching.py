@@ -116,8 +116,8 @@ def _gauss(a, b, c):
 
 
 def _triangle(a, b, c):
-    low = min(a, c)
-    return 0.0 if b == low else (c - a) / (2 * (b - low))
+    low, high = min(a, c), max(a, c)
+    return 0.0 if b == low else (1 if c > a else -1) * (1 - (high - low)) / (b - low)
 
 
 def _equiangular(a, b, c):

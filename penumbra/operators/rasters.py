@@ -48,12 +48,6 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, transform: Sequence[fl
     return points.join(values, key, "left")
 
 
-def bilinear_lines(pixels: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """Pixels with their right, lower and diagonal neighbours, the last row and column repeated."""
-    line = Window.partitionBy("raster_id", "i").orderBy("j")
-    return pixels.withColumn("right", F.coalesce(F.lead("value").over(line), F.col("value")))
-
-
 def neighbours(pixels: DataFrame, radius: int) -> DataFrame:
     """(raster_id, i, j, di, dj, near): each pixel's valid neighbours within a square, itself included.
 
@@ -156,26 +150,47 @@ def minmax_scale(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     return joined.withColumn(name, F.coalesce(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))).drop("_low", "_high")
 
 
-def downstream(cells: DataFrame, starts: DataFrame, steps: int = 10) -> DataFrame:
-    """The cells met by following flow codes (i, j, d8) from each start (id, i, j), with the step."""
+def flow_targets(cells: DataFrame) -> DataFrame:
+    """(i, j, to_i, to_j) of cells (i, j, d8) that flow: code 0 is the next column, the others follow by eighths of a turn."""
     di = F.element_at(F.array(*(F.lit(v) for v in (0, 1, 1, 1, 0, -1, -1, -1))), F.col("d8") + 1)
     dj = F.element_at(F.array(*(F.lit(v) for v in (1, 1, 0, -1, -1, -1, 0, 1))), F.col("d8") + 1)
-    flow = cells.filter("d8 < 8").select("i", "j", (F.col("i") + di).alias("to_i"), (F.col("j") + dj).alias("to_j"))
+    return cells.filter("d8 < 8").select("i", "j", (F.col("i") + di).alias("to_i"), (F.col("j") + dj).alias("to_j"))
+
+
+def outlets(cells: DataFrame) -> DataFrame:
+    """(i, j) of the cells whose flow leaves the raster, and of sinks."""
+    flow = flow_targets(cells)
+    leaving = flow.join(cells.select(F.col("i").alias("to_i"), F.col("j").alias("to_j")), ["to_i", "to_j"], "left_anti").select("i", "j")
+    return leaving.unionByName(cells.filter("d8 >= 8").select("i", "j"))
+
+
+def downstream(cells: DataFrame, starts: DataFrame, steps: int | None = None) -> DataFrame:
+    """The cells met by following flow codes (i, j, d8) from each start (id, i, j), with the step.
+
+    A path ends after ``steps``; without a number, at a sink, outside the raster
+    or where it meets itself.
+    """
+    flow = flow_targets(cells)
     here = starts.select("id", "i", "j", F.lit(0).alias("step"))
     found = here
-    for step in range(1, steps + 1):
-        here = settle(here.join(flow, ["i", "j"]).select("id", F.col("to_i").alias("i"), F.col("to_j").alias("j"), F.lit(step).alias("step")), "flow")
+    step = 0
+    while steps is None or step < steps:
+        step += 1
+        here = here.join(flow, ["i", "j"]).select("id", F.col("to_i").alias("i"), F.col("to_j").alias("j"), F.lit(step).alias("step"))
+        if steps is None:
+            here = here.join(found, ["id", "i", "j"], "left_anti")
+        here = settle(here, "flow")
+        if here.isEmpty():
+            break
         found = found.unionByName(here)
     return found
 
 
-def catchment(cells: DataFrame, outlets: DataFrame, most_steps: int = 10_000) -> DataFrame:
-    """All cells that flow into each outlet (id, i, j), found upstream step by step until none is new."""
-    di = F.element_at(F.array(*(F.lit(v) for v in (0, 1, 1, 1, 0, -1, -1, -1))), F.col("d8") + 1)
-    dj = F.element_at(F.array(*(F.lit(v) for v in (1, 1, 0, -1, -1, -1, 0, 1))), F.col("d8") + 1)
-    flow = settle(cells.filter("d8 < 8").select(F.col("i").alias("up_i"), F.col("j").alias("up_j"), (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")), "flow")
-    found = edge = outlets.select("id", "i", "j")
-    for _ in range(most_steps):
+def catchment(cells: DataFrame, ends: DataFrame) -> DataFrame:
+    """All cells that flow into each of ``ends`` (id, i, j), found upstream step by step until none is new."""
+    flow = settle(flow_targets(cells).select(F.col("i").alias("up_i"), F.col("j").alias("up_j"), F.col("to_i").alias("i"), F.col("to_j").alias("j")), "flow")
+    found = edge = ends.select("id", "i", "j")
+    while True:
         above = edge.join(flow, ["i", "j"]).select("id", F.col("up_i").alias("i"), F.col("up_j").alias("j"))
         edge = settle(above.join(found, ["id", "i", "j"], "left_anti").distinct(), "edge")
         if edge.isEmpty():

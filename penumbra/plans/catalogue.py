@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penumbra.plans import extra, matching, pairs, pixels, rasters, series, statistics, texts  # noqa: F401  they register their queries
+from penumbra.plans import extra, intensities, matching, pairs, pixels, rasters, series, statistics, texts  # noqa: F401  they register their queries
 from penumbra.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

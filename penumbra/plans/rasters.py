@@ -119,14 +119,15 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = f"(SELECT i, j, i + [0, 1, 1, 1, 0, -1, -1, -1][d8 + 1] AS to_i, j + [1, 1, 0, -1, -1, -1, 0, 1][d8 + 1] AS to_j FROM {_D8})"
 
 
-@register("d8_streamflow", f"""WITH RECURSIVE f AS {_STEP}, r AS (SELECT i * 40 + j AS id, i, j, 0 AS step FROM f WHERE j = 0 UNION ALL SELECT r.id, f.to_i, f.to_j, r.step + 1 FROM r JOIN f ON r.i = f.i AND r.j = f.j WHERE r.step < 10)
+@register("d8_streamflow", f"""WITH RECURSIVE f AS {_STEP}, r AS (SELECT i * 40 + j AS id, i, j, 0 AS step, [{{'i': i, 'j': j}}] AS path FROM f WHERE j = 0 UNION ALL SELECT r.id, f.to_i, f.to_j, r.step + 1, list_append(path, {{'i': f.to_i, 'j': f.to_j}}) FROM r JOIN f ON r.i = f.i AND r.j = f.j WHERE NOT list_contains(path, {{'i': f.to_i, 'j': f.to_j}}))
  SELECT id, i, j, step FROM r""")
 def d8_streamflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = raster(spark, sf_dir).filter("j = 0").select((F.col("i") * 40 + F.col("j")).alias("id"), "i", "j")
     return rasters.downstream(flow(spark, sf_dir), starts)
 
 
-@register("d8_catchment", f"""WITH RECURSIVE f AS {_STEP}, r AS (SELECT i AS id, i, j FROM f WHERE j = 20 AND i % 10 = 0 UNION SELECT r.id, f.i, f.j FROM r JOIN f ON f.to_i = r.i AND f.to_j = r.j) SELECT id, i, j FROM r""")
+@register("d8_catchment", f"""WITH RECURSIVE f AS {_STEP}, r AS (SELECT i * 40 + j AS id, i, j FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.i = f.to_i AND g.j = f.to_j) UNION SELECT r.id, f.i, f.j FROM r JOIN f ON f.to_i = r.i AND f.to_j = r.j) SELECT id, i, j FROM r""")
 def d8_catchment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outlets = raster(spark, sf_dir).filter("j = 20 AND i % 10 = 0").select(F.col("i").alias("id"), "i", "j")
-    return rasters.catchment(flow(spark, sf_dir), outlets)
+    """What flows into each cell whose own flow leaves the raster."""
+    cells = flow(spark, sf_dir)
+    return rasters.catchment(cells, rasters.outlets(cells).select((F.col("i") * 40 + F.col("j")).alias("id"), "i", "j"))

@@ -44,17 +44,33 @@ def write(df: DataFrame, path: str | None = None) -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A connection table; the header is that of the folder's files, which agree."""
-    lines = spark.read.text(path).withColumn("value", F.trim("value"))
-    header = lines.filter(F.col("value").startswith("#") & ~F.col("value").contains(":")).limit(1).collect()
-    names = header[0][0].lstrip("# ").split() if header else list(COLUMNS)
-    stamp = lines.filter(F.col("value").startswith("# time:")).limit(1).collect()
-    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", r"\s+").alias("v"))
-    columns = [F.when(F.lower(F.get("v", F.lit(k))) != "nan", F.get("v", F.lit(k))).cast(COLUMNS.get(n, ("double", ""))[0]).alias(n) for k, n in enumerate(names)]
-    table = rows.select(*columns)
-    if "timestamp" not in names and stamp:
-        table = table.withColumn("timestamp", F.to_date(F.lit(stamp[0][0].split(":", 1)[1].strip()[:10])))
-    return table
+    """A connection table of all files of a folder.
+
+    Each file is read by its own header and, if that names no ``timestamp``, takes
+    the time of its ``# time:`` line. A file without a header has the columns of
+    ``COLUMNS``; columns that a file lacks are null.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    comment = F.col("value").startswith("#")
+    headers = lines.filter(comment & ~F.col("value").contains(":")).groupBy("file").agg(F.split(F.trim(F.regexp_replace(F.min("value"), "^#+", "")), r"\s+").alias("names"))
+    times = lines.filter(F.col("value").startswith("# time:")).groupBy("file").agg(F.min("value").alias("time"))
+    kinds = sorted(tuple(r[0]) for r in headers.select("names").distinct().collect())  # the headers that differ
+    names = list(dict.fromkeys(n for kind in kinds or [tuple(COLUMNS)] for n in kind))
+    plain = F.array(*(F.lit(n) for n in COLUMNS))
+    rows = lines.filter(~comment & (F.col("value") != "")).select("file", F.split("value", r"\s+").alias("v"))
+    rows = rows.join(headers, "file", "left").join(times, "file", "left").withColumn("names", F.coalesce("names", plain))
+
+    def field(name: str):
+        at = F.array_position("names", name).cast("int")
+        text = F.when(at > 0, F.get("v", at - 1))
+        return F.when(F.lower(text) != "nan", text).cast(COLUMNS.get(name, ("double", ""))[0])
+
+    stamp = F.to_date(F.substring(F.trim(F.element_at(F.split("time", ":", 2), 2)), 1, 10))
+    timed = F.coalesce(field("timestamp"), F.when(~F.array_contains("names", "timestamp"), stamp)) if "timestamp" in names else stamp
+    columns = [(timed if n == "timestamp" else field(n)).alias(n) for n in names]
+    if "timestamp" not in names and not times.isEmpty():
+        columns.append(timed.alias("timestamp"))
+    return rows.select(*columns)
 
 
 def write_elevation_table(df: DataFrame, path: str, region: int, number: int) -> str:
