@@ -13,9 +13,10 @@ cut, so a leaf of any size is never gathered in one task. The tree itself, one
 row a leaf, is laid out on the driver.
 
 Null level values are a child of their own. Null texts have no tokens; such
-documents go with the prefix like any other. Equal rows are interchangeable. An
-empty table gives no rows. All columns stay; ``n_tokens`` and ``epoch`` replace
-columns of those names.
+documents go with the prefix like any other. Equal rows are interchangeable.
+Texts of any length are counted whole; a text beyond its leaf's budget is never
+part of a prefix. An empty table gives no rows. All columns stay, whatever their
+names; ``n_tokens`` and ``epoch`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -81,38 +82,39 @@ def mix(df: DataFrame, levels: Sequence[str], weights: Mapping[Path, float], sha
 
     The budget is ``share`` of all tokens.
     """
-    spark, names = df.sparkSession, [c for c in df.columns if c not in ("n_tokens", "epoch")]
-    keys = [f"_level{k}" for k in range(len(levels))]
-    rows = df.drop("n_tokens", "epoch").withColumns({"n_tokens": count_tokens(text_col)} | {k: F.col(c).cast("string") for k, c in zip(keys, levels, strict=True)})
+    spark = df.sparkSession
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_tokens", "epoch")))
+    keys = [f"level{k}" for k in range(len(levels))]
+    rows = df.select(
+        whole.alias("row"), count_tokens(text_col).alias("n_tokens"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"),
+        *(F.col(f"`{c}`").cast("string").alias(k) for k, c in zip(keys, levels, strict=True)),
+    )
     sizes = {tuple(r[k] for k in keys): r["size"] for r in rows.groupBy(*keys).agg(F.sum("n_tokens").alias("size")).collect()}  # one row a leaf of the tree
     budgets = hand_down(sizes, share * sum(sizes.values()), weights, max_epochs)
     plan = []
     for path, size in sizes.items():
-        whole = min(max_epochs, budgets[path] // size) if size else 0
-        plan.append((*path, int(whole), int(budgets[path] - whole * size)))
-    leaf_ddl = ", ".join(f"{k} string" for k in keys)
-    leaves = spark.createDataFrame(plan, f"{leaf_ddl}, _whole int, _rest long")
+        full = min(max_epochs, budgets[path] // size) if size else 0
+        plan.append((*path, int(full), int(budgets[path] - full * size)))
+    leaf_ddl = ", ".join(f"leaf{n} string" for n in range(len(keys)))
+    leaves = spark.createDataFrame(plan, f"{leaf_ddl}, full int, rest long")
 
-    def meets(other: DataFrame):
+    def meets(prefix: str):
         condition = F.lit(True)
-        for k in keys:
-            condition &= rows_of[k].eqNullSafe(other[k])
+        for n, k in enumerate(keys):
+            condition &= F.col(k).eqNullSafe(F.col(f"{prefix}{n}"))
         return condition
 
-    rows_of = rows
-    placed = rows.join(F.broadcast(leaves), meets(leaves)).drop(*(leaves[k] for k in keys))  # one row a leaf
-    placed = placed.withColumn("_order", F.xxhash64(F.lit(seed), "_whole", F.col(id_col).cast("string"), *keys))
-    placed = placed.withColumn("_bucket", F.shiftrightunsigned("_order", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
-    sums = placed.filter("_rest > 0").groupBy(*keys, "_bucket", "_rest").agg(F.sum("n_tokens").alias("sum"))
-    upto = Window.partitionBy(*keys).orderBy("_bucket")  # at most BUCKETS rows a leaf
-    cuts = sums.withColumn("_upto", F.sum("sum").over(upto)).filter(F.col("_upto") > F.col("_rest")).groupBy(*keys)
-    cuts = cuts.agg(F.min("_bucket").alias("_cut"), F.min_by(F.col("_upto") - F.col("sum"), "_bucket").alias("_before"))
-    rows_of = placed
-    cut = placed.join(F.broadcast(cuts), meets(cuts), "left").drop(*(cuts[k] for k in keys))  # one row a leaf
-    by_bucket = cut.withColumn("_in", F.col("_rest") > 0).withColumn("_in", F.col("_in") & (F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))))
-    at_cut = (F.col("_rest") > 0) & F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
-    within = Window.partitionBy(*keys).orderBy("_order", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, 0)
-    edge = by_bucket.filter(at_cut).withColumn("_in", F.col("_before") + F.sum("n_tokens").over(within) <= F.col("_rest"))
-    chosen = by_bucket.filter(~at_cut).unionByName(edge).withColumn("_copies", F.col("_whole") + F.col("_in").cast("int"))
-    columns = [F.col(f"`{c}`") for c in names]
-    return chosen.filter("_copies > 0").select(*columns, "n_tokens", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("epoch"))
+    placed = rows.join(F.broadcast(leaves), meets("leaf")).drop(*(f"leaf{n}" for n in range(len(keys))))  # one row a leaf
+    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "full", F.col("id").cast("string"), *keys))
+    placed = placed.withColumn("bucket", F.shiftrightunsigned("order", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
+    sums = placed.filter("rest > 0").groupBy(*keys, "bucket", "rest").agg(F.sum("n_tokens").alias("sum"))
+    upto = Window.partitionBy(*keys).orderBy("bucket")  # at most BUCKETS rows a leaf
+    cuts = sums.withColumn("upto", F.sum("sum").over(upto)).filter(F.col("upto") > F.col("rest")).groupBy(*(F.col(k).alias(f"cut{n}") for n, k in enumerate(keys)))
+    cuts = cuts.agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("sum"), "bucket").alias("before"))
+    cut = placed.join(F.broadcast(cuts), meets("cut"), "left").drop(*(f"cut{n}" for n in range(len(keys))))  # one row a leaf
+    by_bucket = cut.withColumn("in", (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))))
+    at_cut = (F.col("rest") > 0) & F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    within = Window.partitionBy(*keys).orderBy("order", "id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    edge = by_bucket.filter(at_cut).withColumn("in", F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest"))
+    chosen = by_bucket.filter(~at_cut).unionByName(edge).withColumn("copies", F.col("full") + F.col("in").cast("int"))
+    return chosen.filter("copies > 0").select("row.*", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))

@@ -11,9 +11,10 @@ one first slot, so no shard's rows are ever gathered in one task. A cell is
 split into parts by a hash of the whole row's digest, so a key that many rows
 share is ranked in several tasks.
 
-Null keys hash like any other value. Equal rows are interchangeable. An empty
-table gives no rows. All columns of the input stay; ``shard`` and ``slot``
-replace columns of those names.
+Null keys hash like any other value. Equal rows are interchangeable, each has a
+slot of its own. Texts are not read. An empty table gives no rows. All columns
+of the input stay, whatever their names; ``shard`` and ``slot`` replace columns
+of those names.
 """
 
 from __future__ import annotations
@@ -89,23 +90,21 @@ def shard_rows(
     ``keys`` place a row on the ring; ``digest`` (columns that tell rows of a key
     apart) orders rows of equal place.
     """
-    place = F.xxhash64(*keys)
-    rows = df.drop("shard", "slot").withColumns({
-        "_place": place,
-        "_cell": F.shiftrightunsigned(place, 64 - cell_bits).cast("int"),
-        "_digest": F.xxhash64(*keys, *digest),
-    }).withColumn("_part", F.pmod("_digest", F.lit(PARTS)).cast("int"))
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("_cell", "_part").count().collect()}  # 2**cell_bits * PARTS rows at most
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")))
+    told = {f"k{n}": c for n, c in enumerate([*keys, *digest])}  # what rows are told apart by
+    rows = df.select(whole.alias("row"), *(c.alias(k) for k, c in told.items())).withColumns({
+        "place": F.xxhash64(*list(told)[: len(keys)]),
+        "digest": F.xxhash64(*told),
+    }).withColumns({"cell": F.shiftrightunsigned("place", 64 - cell_bits).cast("int"), "part": F.pmod("digest", F.lit(PARTS)).cast("int")})
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("cell", "part").count().collect()}  # 2**cell_bits * PARTS rows at most
     total = sum(counts.values())
     stretches = lay_out(counts, virtual_nodes_of(n_shards, virtual_nodes, cell_bits), capacities(total, n_shards, load_factor))
-    layout = df.sparkSession.createDataFrame(stretches, "_c int, _p int, _first long, _end long, shard int, _slot long")
-    rank = Window.partitionBy("_cell", "_part").orderBy("_place", "_digest", *keys, *digest)
-    ranked = rows.withColumn("_rank", F.row_number().over(rank) - 1)
+    layout = df.sparkSession.createDataFrame(stretches, "c int, p int, first long, end long, shard int, start long")
+    rank = Window.partitionBy("cell", "part").orderBy("place", "digest", *told)
+    ranked = rows.withColumn("rank", F.row_number().over(rank) - 1)
     # the layout has a row for each part of a cell and one more for each time a shard fills up
     joined = ranked.join(
         F.broadcast(layout),
-        (F.col("_cell") == F.col("_c")) & (F.col("_part") == F.col("_p")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")),
+        (F.col("cell") == F.col("c")) & (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")),
     )
-    slot = (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
-    return joined.select(*kept, "shard", slot)
+    return joined.select("row.*", "shard", (F.col("start") + F.col("rank") - F.col("first")).alias("slot"))
