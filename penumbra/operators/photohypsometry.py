@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penumbra.functions import atmosphere
 from penumbra.operators.pairing import ordered_pairs
+from penumbra.operators.rasters import sample_nearest
 
 
 def with_caster(connections: DataFrame, caster: str = "caster_id") -> DataFrame:
@@ -137,3 +139,41 @@ def relative_network(pairs: DataFrame) -> DataFrame:
     """Coordinate rows (pair_id, x, y, value) of the network matrix: -1 at the first end, 1 at the second."""
     ends = F.array(F.struct(F.col("x_1").alias("x"), F.col("y_1").alias("y"), F.lit(-1).alias("value")), F.struct(F.col("x_2").alias("x"), F.col("y_2").alias("y"), F.lit(1).alias("value")))
     return pairs.select("pair_id", F.explode(ends).alias("e")).select("pair_id", "e.x", "e.y", "e.value")
+
+
+def with_view_angles(connections: DataFrame, zenith: DataFrame, azimuth: DataFrame, transform: Sequence[float]) -> DataFrame:
+    """Whole degrees ``caster_zn`` and ``caster_az`` of the nearest pixels at caster_X and caster_Y; 0 outside the rasters."""
+    rows = connections.drop("caster_zn", "caster_az")
+    for name, angles in (("caster_zn", zenith), ("caster_az", azimuth)):
+        rows = sample_nearest(rows, angles, transform, "caster_X", "caster_Y", name).withColumn(name, F.col(name).cast("int"))
+    return rows
+
+
+def _at_height(levels: Column, z: Column, field: str) -> Column:
+    """A field of sorted levels at a height, on the line between the levels around it; the ends are held."""
+    below, above = F.filter(levels, lambda l: l["z"] <= z), F.filter(levels, lambda l: l["z"] > z)
+    low, high = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
+    share = F.coalesce(F.try_divide(z - low["z"], high["z"] - low["z"]), F.lit(0.0))
+    return F.coalesce(low[field] + share * F.coalesce(high[field] - low[field], F.lit(0.0)), high[field])
+
+
+def with_refracted_zenith(connections: DataFrame, profiles: DataFrame, wavelength: float, humid: bool = False, co2: float = 450.0) -> DataFrame:
+    """Sun angles ``zenith_refrac`` below the atmosphere, by the air at each caster's height.
+
+    ``profiles`` have timestamp, z, temperature (Kelvin), pressure (Pascal) and,
+    for ``humid``, humidity; the few levels of one time are one row. Temperatures
+    reach the refractive index in degrees Celsius, as it is defined. Connections
+    of a time without a profile, or without a height, get null.
+    """
+    fields = ["temperature", "pressure"] + ["humidity"] * humid
+    level = F.struct("z", *fields)
+    times = profiles.dropna(subset=["timestamp", "z"]).groupBy("timestamp").agg(F.sort_array(F.collect_list(level)).alias("levels"))
+    met = connections.drop("zenith_refrac").join(times, "timestamp", "left")
+    celsius, pressure, *humidity = (_at_height(F.col("levels"), F.col("caster_Z"), f) for f in fields)
+    celsius = celsius - 273.15
+    if humid:
+        index = atmosphere.refractive_index_broadband(F.lit(wavelength), celsius, pressure, humidity[0], co2)
+    else:
+        index = atmosphere.refractive_index_visible(F.lit(wavelength), celsius, pressure)
+    angle = F.when(F.col("caster_Z").isNotNull(), atmosphere.refraction_angle(F.col("zenith"), index))
+    return met.withColumn("zenith_refrac", angle).drop("levels")
