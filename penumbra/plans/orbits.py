@@ -138,12 +138,12 @@ def boxes_as_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("template_samples", f"""SELECT id, count(*) AS n, round(sum(x * (y + 2)), 6) AS moment, round(max(x), 8) AS east, round(min(y), 8) AS south FROM (
+@register("template_samples", f"""SELECT id, count(*) AS n, round(sum(x * (y + 2)), 6) + 0e0 AS moment, round(max(x), 8) AS east, round(min(y), 8) AS south FROM (
  SELECT id, p * {_COS} + q * {_SIN} AS x, q * {_COS} - p * {_SIN} AS y FROM {_TRANSFORMS}, range(-3, 4) r(p), range(-3, 4) s(q)) GROUP BY id""")
 def template_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of turned templates of seven by seven."""
     points = _transforms(spark, sf_dir).select("id", F.explode(transforms.turned_template_points(F.lit(3), F.col("a"))).alias("p")).select("id", "p.*")
-    return points.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") * (F.col("y") + 2)), 6).alias("moment"), F.round(F.max("x"), 8).alias("east"), F.round(F.min("y"), 8).alias("south"))
+    return points.groupBy("id").agg(F.count("*").alias("n"), (F.round(F.sum(F.col("x") * (F.col("y") + 2)), 6) + 0.0).alias("moment"), F.round(F.max("x"), 8).alias("east"), F.round(F.min("y"), 8).alias("south"))
 
 
 _SHARE = "((red * 618034e-6 + nir * 786151e-6) / nullif(green * 618034e-6 + blue * 786151e-6, 0))"
