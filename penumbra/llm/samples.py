@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STEPS = 1 << 24
+_STEPS = 1 << 62
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, class_col: str, max_per_class: int, most_classes: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, class_col
         raise ValueError(f"more than {most_classes} classes")
     spark = docs.sparkSession
     limits = [(r["class"], int(min(1.0, (1.2 * max_per_class + 20) / r["count"]) * _STEPS)) for r in counts]  # a little more than needed; the rest is cut below
-    below = spark.createDataFrame(limits, f"class {types[class_col]}, most int")
+    below = spark.createDataFrame(limits, f"class {types[class_col]}, most long")
     near = rows.join(F.broadcast(below), "class").filter("h < most").select("h", "id", "class").distinct()  # most_classes rows at most
     picked, per_class = [], {}
     for r in sorted(near.collect(), key=lambda r: (r["h"], r["id"], str(r["class"]))):

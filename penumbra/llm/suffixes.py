@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.llm.carry import with_text_columns
-from penumbra.llm.shared import fresh_path
+from penumbra.llm.shared import fresh_path, unused
 from penumbra.llm.words import LOWER_ALNUM, Words, per_document, split_words
 
 #: Bytes of text of one shard, and of one block of the benchmark.
@@ -226,9 +226,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no window of the benchmark."""
     blocks = write_blocks(benchmark, item_col, item_text)
-    scored = with_text_columns(docs, text_col, "_n_hit long", partial(_hits, blocks=blocks, window=window), SHARD_BYTES)
-    return scored.filter("_n_hit = 0").drop("_n_hit")
+    (name,) = unused(docs, "n_hit")
+    scored = with_text_columns(docs, text_col, f"{name} long", partial(_hits, blocks=blocks, window=window, name=name), SHARD_BYTES)
+    return scored.filter(F.col(name) == 0).drop(name)
 
 
-def _hits(texts: pa.Array, blocks: list[str], window: int) -> dict[str, pa.Array]:
-    return {"_n_hit": score_texts(texts, blocks, window)["n_hit"]}
+def _hits(texts: pa.Array, blocks: list[str], window: int, name: str) -> dict[str, pa.Array]:
+    return {name: score_texts(texts, blocks, window)["n_hit"]}
