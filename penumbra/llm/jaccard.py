@@ -193,7 +193,7 @@ def _marked(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(np.packbits(marks > 0))
 
 
-def _sets_of(texts: DataFrame, pairs: DataFrame, size: int, mapped: DataFrame | None = None) -> DataFrame:
+def sets_of(texts: DataFrame, pairs: DataFrame, size: int, mapped: DataFrame | None = None) -> DataFrame:
     """Written sets of the documents in ``pairs``, and bit maps of those in ``mapped`` besides."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
     wanted = _marked(ends)
@@ -211,13 +211,13 @@ def _near(percent: int):
     )
 
 
-def _maps_near(percent: int):
+def maps_near(percent: int):
     """Whether the bit maps leave room for the overlap that a link needs: bits that differ stand for shingles that differ."""
     differ = " + ".join(f"bit_count(a.b{k} ^ b.b{k})" for k in range(MAP_LONGS))
     return F.expr(f"{differ} <= a.n + b.n - 2 * ceil({percent} * (a.n + b.n) / {100 + percent}D)")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are near enough."""
     a, b = (sets.select(F.col("doc_id").alias(k), F.col("hashes").alias(f"{k}_set")) for k in ("u", "v"))
     both = F.size(F.array_intersect("u_set", "v_set"))
@@ -259,8 +259,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = settle(edges.groupBy("u", "v").agg(F.count("*").alias("m")).filter("m > 1").select("u", "v"), "pairs")
 
     texts = rows.filter("doc_id IS NOT NULL")
-    sets = _sets_of(texts, first, size, shared_tokens.select("doc_id"))
-    links = settle(_verified(first, sets, percent), "links")
+    sets = sets_of(texts, first, size, shared_tokens.select("doc_id"))
+    links = settle(verified(first, sets, percent), "links")
     found = components(links)
 
     # the second step: candidates between different components
@@ -269,10 +269,10 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     maps = sets.select("doc_id", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(MAP_LONGS)))
     mixed = settle(mixed.join(maps, "doc_id"), "mixed")
     a, b = mixed.alias("a"), mixed.alias("b")
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _near(percent) & _maps_near(percent))
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _near(percent) & maps_near(percent))
     counted = across.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(F.count("*").alias("m"), F.min(F.least("a.ask", "b.ask")).alias("ask"))
     second = settle(counted.filter("m >= ask").select("u", "v"), "pairs")
-    more = _verified(second, _sets_of(texts, second, size), percent)
+    more = verified(second, sets_of(texts, second, size), percent)
     found = components(links.unionByName(more))
 
     labelled = classes.join(found, F.col("class_id") == F.col("node"), "left").select("key1", "key2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,9 +125,38 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.elkan import compress
+
+    coded, codebooks = compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(x) for x in codebooks.ravel()).encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return rows.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error", "residual")
+
+
+def op13_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penumbra.llm.minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from penumbra.llm import oracles
+
+    return {
+        "op2_adaptive_prefix_join": oracles.linked_sets(4, 85, "class_id"),
+        "op4_suffix_arrays": oracles.contamination(),
+        "op11_elkan_codes": oracles.product_codes(),
+        "op13_circulant_minhash": oracles.linked_sets(2, 80, "component_id = doc_id AS kept, class_id"),
+    }
