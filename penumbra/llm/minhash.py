@@ -15,7 +15,7 @@ Large groups of near copies would make a candidate of each pair, so links are
 found in two steps. First each set is compared with the least and the greatest
 document of its band and size, which is linear in the group. Then only
 candidates between components found so far are compared, pruned by bit maps of
-the sets; a band of many holders is cut into slices, and each pair of slices
+the sets and taken from one of their bands alone; a band of many holders is cut into slices, and each pair of slices
 meets in a task of its own.
 
 Equal sets form one class, found by two 64-bit sums of the hashes and the size;
@@ -132,17 +132,19 @@ def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return both.select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
 
 
-def _second_pairs(shared: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different components."""
+def _second_pairs(shared: DataFrame, banded: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Candidates between different components, each from the least of the bands that the two share."""
     placed = shared.join(found, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high")
     cut = placed.join(mixed.select("bucket", F.ceil(F.col("m") / SLICE).alias("g")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("g")))
-    cut = settle(cut.join(sets.select("doc_id", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(MAP_LONGS))), "doc_id"), "mixed")
+    cut = cut.join(sets.select("doc_id", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(MAP_LONGS))), "doc_id")
+    cut = settle(cut.join(banded.select("doc_id", "bands"), "doc_id"), "mixed")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
     a = cut.withColumn("other", every).withColumn("cell", F.col("own") * F.col("g") + F.col("other")).alias("a")
     b = cut.withColumn("other", every).withColumn("cell", F.col("other") * F.col("g") + F.col("own")).alias("b")
     met = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") < F.col("b.component"))
-    near = a.join(b, met & _sizes_near(percent) & maps_near(percent))
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")
+    near = a.join(b, met & _sizes_near(percent) & maps_near(percent) & once)
     return near.select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v")).distinct()
 
 
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = settle(_first_pairs(shared, percent), "pairs")
     sets = sets_of(rows.filter("doc_id IS NOT NULL"), shared.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")), size)
     links = settle(verified(first, sets, percent), "links")
-    second = settle(_second_pairs(shared, sets, components(links), percent), "pairs")
+    second = settle(_second_pairs(shared, banded, sets, components(links), percent), "pairs")
     # rows that share an id are one document, so their classes are linked
     same_class = (named["key1"] == classes["key1"]) & (named["key2"] == classes["key2"]) & (named["n"] == classes["n"])
     labelled = settle(named.join(classes, same_class & named["doc_id"].isNotNull(), "left").select("doc_id", named["n"].alias("n"), "class_id"), "labelled")
