@@ -197,15 +197,15 @@ def compress(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     kept = [f for f in vectors.schema.fields if f.name != "vector"]
     result = StructType([*kept, *StructType.fromDDL("code string, error long").fields])
     spark = df.sparkSession
+    largest = vectors.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))).first()[0] or 0
+    if dims * (2 * (1024 * largest + 1)) ** 2 >= 2**62 or 1024 * largest >= 2**31 - 1:
+        raise ValueError("squared distances of such components don't fit 64 bits")
     first = vectors.orderBy(F.col("id").asc_nulls_last(), "vector").limit(entries).collect()
     starts = np.floor(1024 * np.array([r["vector"] for r in first], np.float64).reshape(len(first), dims)).astype(np.int64)
     book = np.ascontiguousarray(starts.reshape(len(first), parts, dims // parts).transpose(1, 0, 2))
     if not dims:
         coded = spark.createDataFrame([], result)
     else:
-        largest = vectors.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))).first()[0]
-        if dims * (2 * (1024 * largest + 1)) ** 2 >= 2**62 or 1024 * largest >= 2**31 - 1:
-            raise ValueError("squared distances of such components don't fit 64 bits")
         names, schema = ["id", "label"], StructType([*kept, *StructType.fromDDL(_STATE).fields])
         state = settle(vectors.mapInArrow(partial(_round, names=names, vector="vector", old=None, book=book), schema), "bounds")
         for _ in range(rounds):

@@ -154,7 +154,7 @@ def bit_map(s: np.ndarray) -> np.ndarray:
     return np.packbits(mask, bitorder="little").view(np.int64)
 
 
-def _id_bucket(ids: np.ndarray) -> np.ndarray:
+def id_bucket(ids: np.ndarray) -> np.ndarray:
     return bucket((ids.astype(np.int64).view(np.uint64) + _K2) * _K1)
 
 
@@ -162,7 +162,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of an array that is not zero where an id falls."""
     marks = np.zeros(BUCKETS, np.float32)
     for batch in batches:
-        marks[_id_bucket(batch.column("doc_id").to_numpy())] = 1
+        marks[id_bucket(batch.column("doc_id").to_numpy())] = 1
     yield pa.RecordBatch.from_pydict(chunk_columns(0, marks))
 
 
@@ -173,9 +173,9 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted, mapped) -> Itera
     """
     want, either = (np.unpackbits(x).astype(bool) for x in (wanted.value, wanted.value | mapped.value))
     for whole in batches:
-        batch = whole.filter(pa.array(either[_id_bucket(whole.column("doc_id").to_numpy())]))
+        batch = whole.filter(pa.array(either[id_bucket(whole.column("doc_id").to_numpy())]))
         for part in slices(iter([batch]), "text", SLICE_BYTES):
-            sets, keep = shingle_sets(part.column("text"), size), want[_id_bucket(part.column("doc_id").to_numpy())]
+            sets, keep = shingle_sets(part.column("text"), size), want[id_bucket(part.column("doc_id").to_numpy())]
             held = [s if k else s[:0] for s, k in zip(sets, keep, strict=True)]
             offsets = np.cumsum([0] + [len(s) for s in held])
             maps = np.concatenate([bit_map(s) for s in sets])
@@ -187,7 +187,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted, mapped) -> Itera
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hashes", "bits"])
 
 
-def _marked(ids: DataFrame):
+def marked(ids: DataFrame):
     """A broadcast of packed bits by hashed id: a fixed size, whatever the number of ids (column doc_id)."""
     (marks,) = summed(ids.mapInArrow(_mark, SCHEMA), [np.zeros(BUCKETS, np.float32)])
     return ids.sparkSession.sparkContext.broadcast(np.packbits(marks > 0))
@@ -196,8 +196,8 @@ def _marked(ids: DataFrame):
 def sets_of(texts: DataFrame, pairs: DataFrame, size: int, mapped: DataFrame | None = None) -> DataFrame:
     """Written sets of the documents in ``pairs``, and bit maps of those in ``mapped`` besides."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
-    wanted = _marked(ends)
-    marks = partial(_sets, size=size, wanted=wanted, mapped=wanted if mapped is None else _marked(mapped))
+    wanted = marked(ends)
+    marks = partial(_sets, size=size, wanted=wanted, mapped=wanted if mapped is None else marked(mapped))
     return settle(texts.mapInArrow(marks, "doc_id long, hashes array<long>, bits array<long>"), "hashes")
 
 

@@ -12,10 +12,10 @@ def test_one_query_for_each_operator():
     from penumbra.llm import queries
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10", "op13"])
 def test_a_row_for_each_document(spark, name):
     from penumbra.llm import queries
 
@@ -34,3 +34,18 @@ def test_pipeline(spark):
     rows = out.collect()
     assert 0 < len(rows) < documents.count() and len({r["doc_id"] for r in rows}) == len(rows)
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+
+
+def test_queries_agree_with_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from penumbra.llm import queries
+
+    connection = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        out = queries.queries()[name](spark, SF)
+        made = connection.execute(sql)
+        order = [d[0] for d in made.description]
+        assert sorted(order) == sorted(out.columns), name
+        assert sorted(tuple(r[c] for c in order) for r in out.collect()) == sorted(made.fetchall()), name
