@@ -290,9 +290,10 @@ def test_simhash_matches_a_plain_count():
 
     rng = np.random.default_rng(2)
     lists = [rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (3, 40, 127, 128, 1, 70_000, 300)]
-    got = simhashes(np.concatenate(lists), np.cumsum([0] + [len(x) for x in lists]))
-    for words, sim in zip(lists, got, strict=True):
-        assert int(sim) == sum(1 << b for b in range(64) if 2 * int(((words >> np.uint64(b)) & np.uint64(1)).sum()) > len(words))
+    weights = [rng.integers(1, 5, len(x)) for x in lists]
+    got = simhashes(np.concatenate(lists), np.concatenate(weights), np.cumsum([0] + [len(x) for x in lists]))
+    for words, weight, sim in zip(lists, weights, got, strict=True):
+        assert int(sim) == sum(1 << b for b in range(64) if 2 * int((((words >> np.uint64(b)) & np.uint64(1)).astype(int) * weight).sum()) > weight.sum())
 
 
 def test_ring_is_even_stable_and_gapless(spark, docs, nothing):
