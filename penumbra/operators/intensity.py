@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penumbra.operators.ranks import below
+
 
 def _with_extreme(df: DataFrame, keys: Sequence[str], extreme: Column) -> DataFrame:
     """``df`` as ``row`` with one aggregate of its raster as ``extreme``."""
@@ -37,14 +39,30 @@ def hyperbolic(df: DataFrame, keys: Sequence[str], value: str, name: str, interc
     return rows.select("row.*", F.least(scaled, F.lit(1.0)).alias(name))
 
 
+#: The range of shares is cut into so many slices, which are ordered one by one.
+SLICES = 4096
+
+
 def _quantiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with the share of pixels up to each; rasters of fewer than four values are left out."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("of")).agg(F.count("*").alias("n"))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total")).filter("total >= 4")
-    upto = Window.partitionBy(*keys).orderBy("of")  # a row for each distinct value of a raster
-    summed = counts.withColumn("upto", F.sum("n").over(upto))
-    joined = summed.join(total, list(keys)) if keys else summed.crossJoin(F.broadcast(total))
-    return joined.select(*keys, "of", (F.col("upto").cast("double") / F.col("total")).alias("q"))
+    counted = below(df, keys, value).filter("n >= 4")
+    return counted.select(*keys, F.col(f"`{value}`").alias("of"), ((F.col("before") + F.col("m")).cast("double") / F.col("n")).alias("q"))
+
+
+def _nearest_known(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the last ``known`` at or below their share q and the first at or above it.
+
+    Each slice of shares is ordered by itself; what it doesn't know comes from
+    the slices (``SLICES`` a raster) before and after it.
+    """
+    sliced = both.withColumn("slice", F.floor(F.col("q") * SLICES))
+    ends = sliced.groupBy(*keys, "slice").agg(F.min("known").alias("first"), F.max("known").alias("last"))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"from_below": F.last("last", ignorenulls=True).over(before), "from_above": F.last("first", ignorenulls=True).over(after)})
+    met = sliced.join(ends.drop("first", "last"), [*keys, "slice"])
+    up, down = (Window.partitionBy(*keys, "slice").orderBy(order, F.col("known").isNull()).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("q"), F.desc("q")))
+    return met.withColumns({"below": F.coalesce(F.last("known", ignorenulls=True).over(up), "from_below"), "above": F.coalesce(F.last("known", ignorenulls=True).over(down), "from_above")})
 
 
 def match_histogram(image: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, reference_value: str, name: str) -> DataFrame:
@@ -52,15 +70,14 @@ def match_histogram(image: DataFrame, reference: DataFrame, keys: Sequence[str],
 
     The quantile of a value is looked up among the reference's quantiles,
     linearly between two. Rasters where either side has fewer than four values
-    keep theirs. ``keys`` are not null. Only distinct values are sorted, each raster's in
-    one task.
+    keep theirs. ``keys`` are not null. Distinct values are ordered in ranges, so no
+    task sees all those of a raster.
     """
     here, there = _quantiles(image, keys, value), _quantiles(reference, keys, reference_value)
     both = here.select(*keys, "q", "of", F.lit(None).cast("struct<q: double, v: double>").alias("known")).unionByName(
-        there.select(*keys, "q", F.lit(None).cast(here.schema["of"].dataType).alias("of"), F.struct("q", F.col("of").cast("double").alias("v")).alias("known"))
+        there.select(*keys, "q", F.lit(None).cast("double").alias("of"), F.struct("q", F.col("of").cast("double").alias("v")).alias("known"))
     )
-    up, down = (Window.partitionBy(*keys).orderBy(order, F.col("known").isNull()).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("q"), F.desc("q")))
-    near = both.withColumn("below", F.last("known", ignorenulls=True).over(up)).withColumn("above", F.last("known", ignorenulls=True).over(down))
+    near = _nearest_known(both, keys)
     near = near.filter("of IS NOT NULL AND (below IS NOT NULL OR above IS NOT NULL)")
     share = (F.col("q") - F.col("below.q")) / (F.col("above.q") - F.col("below.q"))
     mapped = F.when(F.col("below").isNull(), F.col("above.v")).when(F.col("above").isNull() | (F.col("above.q") == F.col("below.q")), F.col("below.v"))

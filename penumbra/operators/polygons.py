@@ -63,3 +63,75 @@ def centres(shape: tuple[int, int], transform: Sequence[float], spark) -> DataFr
     x0, dxj, dxi, y0, dyj, dyi = transform
     i, j = F.col("i") + 0.5, F.col("j") + 0.5
     return cells.select("i", "j", (j * dxj + i * dxi + x0).alias("x"), (j * dyj + i * dyi + y0).alias("y"))
+
+
+def unwrapped(ring: Column, x: str = "x", y: str = "y") -> Column:
+    """Copies of a ring of longitudes that may cross the antimeridian: one where it doesn't.
+
+    A ring wider than half the globe crosses: its western longitudes are raised
+    by a turn, and the ring comes back there and a turn lower, so every place of
+    -180 to 180 degrees meets it.
+    """
+    lon = F.transform(ring, lambda p: p[x])
+    crosses = F.array_max(lon) - F.array_min(lon) > 180
+
+    def moved(by: Column | float) -> Column:
+        return F.transform(ring, lambda p: F.struct((p[x] + by).alias("x"), p[y].alias("y")))
+
+    raised = F.transform(ring, lambda p: F.struct(F.when(p[x] < 0, p[x] + 360).otherwise(p[x]).alias("x"), p[y].alias("y")))
+    lowered = F.transform(raised, lambda p: F.struct((p["x"] - 360).alias("x"), p["y"].alias("y")))
+    return F.when(crosses, F.array(raised, lowered)).otherwise(F.array(moved(0.0)))
+
+
+def _turns(a: Column, b: Column, c: Column) -> Column:
+    """The sign of the turn from a over b to c."""
+    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+
+def rings_cross(first: Column, second: Column) -> Column:
+    """Whether an edge of one ring crosses one of the other, touching ends left out."""
+
+    def cross(e: Column, f: Column) -> Column:
+        return (_turns(e["p"], e["q"], f["p"]) * _turns(e["p"], e["q"], f["q"]) < 0) & (_turns(f["p"], f["q"], e["p"]) * _turns(f["p"], f["q"], e["q"]) < 0)
+
+    return F.exists(_edges(first), lambda e: F.exists(_edges(second), lambda f: cross(e, f)))
+
+
+def ring_holds(ring: Column, place: Column) -> Column:
+    """Whether a ring holds a place: a ray from there crosses it an odd number of times."""
+
+    def crossed(e: Column) -> Column:
+        spans = (e["p"]["y"] > place["y"]) != (e["q"]["y"] > place["y"])
+        return spans & (place["x"] < e["p"]["x"] + (place["y"] - e["p"]["y"]) * (e["q"]["x"] - e["p"]["x"]) / (e["q"]["y"] - e["p"]["y"]))
+
+    return F.size(F.filter(_edges(ring), crossed)) % 2 == 1
+
+
+def meeting(first: DataFrame, second: DataFrame, size: float) -> DataFrame:
+    """(id_1, id_2, relation) of polygons (id, ring: array of (x, y)) that share area; each pair once.
+
+    ``relation`` is ``crosses``, ``holds`` (the first holds the second) or
+    ``within``. Pairs come from an equi-join on the grid cells of ``size`` that
+    both boxes cover, taken from the one cell where the boxes' overlap begins;
+    only those are compared edge by edge. Rings of one id are its parts; an id
+    with several parts meets if one does.
+    """
+
+    def boxed(df: DataFrame, k: int) -> DataFrame:
+        x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+        return df.filter("size(ring) > 2").select(
+            F.col("id").alias(f"id_{k}"), F.col("ring").alias(f"ring_{k}"), F.array_min(x).alias(f"west_{k}"), F.array_max(x).alias(f"east_{k}"), F.array_min(y).alias(f"south_{k}"), F.array_max(y).alias(f"north_{k}"),
+        )
+
+    def covered(df: DataFrame, k: int) -> DataFrame:
+        cells = {c: F.sequence(F.floor(F.col(f"{low}_{k}") / size), F.floor(F.col(f"{high}_{k}") / size)) for c, low, high in (("cx", "west", "east"), ("cy", "south", "north"))}
+        return df.withColumn("cx", F.explode(cells["cx"])).withColumn("cy", F.explode(cells["cy"]))
+
+    met = covered(boxed(first, 1), 1).join(covered(boxed(second, 2), 2), ["cx", "cy"])
+    begins = (F.col("cx") == F.floor(F.greatest("west_1", "west_2") / size)) & (F.col("cy") == F.floor(F.greatest("south_1", "south_2") / size))
+    overlap = F.expr("west_1 < east_2 AND west_2 < east_1 AND south_1 < north_2 AND south_2 < north_1")
+    a, b = F.col("ring_1"), F.col("ring_2")
+    relation = F.when(rings_cross(a, b), 2).when(ring_holds(a, b[0]), 1).when(ring_holds(b, a[0]), 0)
+    found = met.filter(begins & overlap).select("id_1", "id_2", relation.alias("r")).filter("r IS NOT NULL")
+    name = F.element_at(F.array(F.lit("within"), F.lit("holds"), F.lit("crosses")), F.max("r") + 1)
+    return found.groupBy("id_1", "id_2").agg(name.alias("relation"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penumbra.store import settle
+
 
 def _joined(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     keys = list(keys)
@@ -89,6 +91,56 @@ def steady_state(values: Column, lambda_1: float = 0.2, lambda_2: float = 0.1, l
     return F.aggregate(rest, start, step, lambda s: F.try_divide(s["v"] * (2 - lambda_1), s["d"]))
 
 
+#: Values of a series that are put together in one row.
+CHUNK = 4096
+
+
+def steady_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, lambda_1: float = 0.2, lambda_2: float = 0.1, lambda_3: float = 0.1) -> DataFrame:
+    """(keys, n, ratio): the steady-state ratio of each series, however long.
+
+    Series are dealt out by ranges of their order and cut into chunks. What a
+    chunk does to the averages depends on the average x and the last value
+    before it alone: x goes to g x + h, its variance to k v + a x^2 + b x + c, and
+    the squared step to k d + the first step + e. Chunks are reduced to these
+    numbers, which are then applied in order. Null values are left out.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, *(F.col(o).alias(f"order_{at}") for at, o in enumerate(order)), F.col(value).cast("double").alias("y"))
+    line = [f"order_{at}" for at in range(len(order))]
+    ranged = settle(rows.repartitionByRange(parts, *keys, *line).withColumn("part", F.spark_partition_id()), "ranged")
+    place = F.row_number().over(Window.partitionBy("part", *keys).orderBy(*line))
+    chunks = ranged.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy(*keys, "part", "chunk").agg(F.sort_array(F.collect_list(F.struct(*line, "y"))).alias("values"))
+    values = F.transform("values", lambda v: v["y"])
+    fade_1, fade_2, fade_3 = 1 - lambda_1, 1 - lambda_2, 1 - lambda_3
+
+    def step(s: Column, y: Column) -> Column:
+        # the average before y is g x + h
+        off = y - s["h"]
+        return F.struct(
+            (s["g"] * fade_1).alias("g"), (y * lambda_1 + s["h"] * fade_1).alias("h"),
+            (s["a"] * fade_2 + s["g"] * s["g"] * lambda_2).alias("a"), (s["b"] * fade_2 - s["g"] * off * (2 * lambda_2)).alias("b"), (s["c"] * fade_2 + off * off * lambda_2).alias("c"),
+            F.when(s["seen"], s["e"] * fade_3 + F.pow(y - s["last"], F.lit(2)) * lambda_3).otherwise(F.lit(0.0)).alias("e"), y.alias("last"), F.lit(True).alias("seen"),
+        )
+
+    start = F.struct(F.lit(1.0).alias("g"), F.lit(0.0).alias("h"), *(F.lit(0.0).alias(c) for c in "abce"), F.lit(0.0).alias("last"), F.lit(False).alias("seen"))
+    reduced = chunks.select(*keys, "part", "chunk", values[0].alias("first"), F.size("values").cast("double").alias("m"), F.aggregate(values, start, step).alias("s"))
+
+    def apply(s: Column, c: Column) -> Column:
+        t, m = c["s"], c["m"]
+        jump = F.pow(c["first"] - s["last"], F.lit(2)) * lambda_3 * F.pow(F.lit(fade_3), m - 1)
+        later = F.struct(
+            (t["g"] * s["x"] + t["h"]).alias("x"), (s["v"] * F.pow(F.lit(fade_2), m) + t["a"] * s["x"] * s["x"] + t["b"] * s["x"] + t["c"]).alias("v"),
+            (s["d"] * F.pow(F.lit(fade_3), m) + jump + t["e"]).alias("d"), t["last"].alias("last"), (s["n"] + m).alias("n"),
+        )
+        return later
+
+    gathered = reduced.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "chunk", "first", "m", "s"))).alias("chunks"))  # a few numbers a chunk
+    # a series begins at its first value, as if that had come before
+    begin = F.struct(F.get("chunks.first", F.lit(0)).alias("x"), F.lit(0.0).alias("v"), F.lit(0.0).alias("d"), F.get("chunks.first", F.lit(0)).alias("last"), F.lit(0.0).alias("n"))
+    end = F.aggregate("chunks", begin, apply)
+    return gathered.select(*keys, end.alias("s")).select(*keys, F.col("s.n").cast("long").alias("n"), F.try_divide(F.col("s.v") * (2 - lambda_1), F.col("s.d")).alias("ratio"))
+
+
 def directional_statistics(df: DataFrame, keys: Sequence[str], angle: str, expected: float = 0.0) -> DataFrame:
     """Rayleigh's z and the V statistic of angles in degrees, with the mean direction."""
     a = F.radians(angle)

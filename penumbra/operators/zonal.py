@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penumbra.operators.pairing import numbered
+
 
 def valid(column: str) -> Column:
     """Neither null nor not-a-number."""
@@ -72,8 +74,8 @@ def specific_hypsometries(df: DataFrame, label: str, elevation: str, change: str
     binned = df.filter(valid(change)).withColumn("bin", F.floor(clamped / interval))
     cells = binned.groupBy(label, "bin").agg(F.median(change).alias("median"), F.count("*").alias("n"))
     totals = cells.groupBy(label).agg(F.sum("n").alias("total"))
-    ranked = totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), label)))  # one row a label
-    return cells.join(ranked, label)
+    placed = numbered(totals.withColumn("fewer", -F.col("total")), ["fewer", label], "place").drop("fewer")
+    return cells.join(placed, label)
 
 
 def polynomial_fill(df: DataFrame, z: str, dz: str, degree: int = 3) -> list[float]:

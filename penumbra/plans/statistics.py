@@ -116,9 +116,9 @@ def prefix_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT e.user_id, e.n, e.value * 2e-1 + r.x * 8e-1, pow(e.value - r.x, 2) * 1e-1 + r.v * 9e-1, pow(e.value - r.last, 2) * 1e-1 + r.d * 9e-1, e.value FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
  SELECT user_id, round(arg_max(v, n) * 18e-1 / nullif(arg_max(d, n), 0), 5) AS ratio FROM r GROUP BY user_id""")
 def steady_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    ratio = statistics.steady_state(F.transform("s", lambda e: e["value"]))
-    return series.select("user_id", F.round(ratio, 5).alias("ratio"))
+    """The steady-state ratio of each user's events, in chunks that are put together."""
+    out = statistics.steady_states(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return out.select("user_id", F.round("ratio", 5).alias("ratio"))
 
 
 @register("minmax_scale", f"SELECT i, j, round((z - min(z) OVER w) / nullif(max(z) OVER w - min(z) OVER w, 0), 8) AS gray FROM {PIXELS} WINDOW w AS (PARTITION BY label)")

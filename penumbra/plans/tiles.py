@@ -62,6 +62,20 @@ def polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("place").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.min("first").alias("west"), F.max("last").alias("east"))
 
 
+@register("polygons_meeting", _STAR_EDGES + """, outer_edges AS (SELECT p.place, p.k, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM points p JOIN points q ON p.place = q.place AND p.ring = 0 AND q.ring = 0 AND q.k = (p.k + 1) % p.n),
+ starts AS (SELECT place, x1 AS x, y1 AS y FROM outer_edges WHERE k = 0),
+ crossing AS (SELECT DISTINCT a.place AS id_1, b.place AS id_2 FROM outer_edges a JOIN outer_edges b ON a.place < b.place
+  WHERE sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0
+  AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0),
+ holding AS (SELECT e.place AS holder, s.place AS held FROM outer_edges e JOIN starts s ON e.place <> s.place AND (e.y1 > s.y) <> (e.y2 > s.y) AND s.x < e.x1 + (s.y - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) GROUP BY ALL HAVING count(*) % 2 = 1)
+ SELECT id_1, id_2, 'crosses' AS relation FROM crossing
+ UNION ALL SELECT least(holder, held), greatest(holder, held), CASE WHEN bool_or(holder < held) THEN 'holds' ELSE 'within' END FROM holding h WHERE NOT EXISTS (SELECT 1 FROM crossing WHERE id_1 = least(holder, held) AND id_2 = greatest(holder, held)) GROUP BY ALL""")
+def polygons_meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of stars, without their holes, that share area."""
+    rings = stars(spark, sf_dir).select(F.col("place").alias("id"), F.get("rings", F.lit(0)).alias("ring"))
+    return polygons.meeting(rings, rings, 8.0).filter("id_1 < id_2")
+
+
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes in three classes, the lowest not marked."""
     return grid(spark, sf_dir).withColumn("value", F.floor(F.col("size") / 17))
