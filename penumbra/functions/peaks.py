@@ -62,3 +62,29 @@ def gaussian_surface(scores: list[list[Column]]) -> tuple[Column, Column]:
     bend_i, bend_j = moment(lambda a, b: 3 * a * a - 2) / 6, moment(lambda a, b: 3 * b * b - 2) / 6
     below = 4 * bend_i * bend_j - twist * twist
     return F.try_divide(twist * slope_j - 2 * slope_i * bend_j, below), F.try_divide(twist * slope_i - 2 * slope_j * bend_i, below)
+
+
+def gradient_crossing(scores: list[Column]) -> Column:
+    """Where the slope of seven scores along an axis, four wide, crosses zero; the middle one is the top."""
+    a, b, c, d, e, f, g = scores
+    here = b + c - e - f
+    after, before = c + d - f - g, a + b - d - e
+    return F.when(e > c, F.try_divide(here, here - after)).otherwise(F.try_divide(before, before - here) - 1)
+
+
+def paraboloid(scores: list[list[Column]]) -> tuple[Column, Column]:
+    """(rows, columns) of the top of the paraboloid through the middle, its four neighbours and the highest corner."""
+    middle = scores[1][1]
+    up, down, left, right = scores[0][1], scores[2][1], scores[1][0], scores[1][2]
+    bend_i, bend_j = up + down - 2 * middle, left + right - 2 * middle
+    corners = {(-1, -1): scores[0][0], (-1, 1): scores[0][2], (1, -1): scores[2][0], (1, 1): scores[2][2]}
+    highest = F.greatest(*corners.values())
+    twist = None
+    for (a, b), corner in corners.items():
+        # the corner's score is that of the middle, two slopes, two half bends and the twist
+        beside = (down if a > 0 else up) + (right if b > 0 else left)
+        found = (corner + middle - beside) * (a * b)
+        twist = F.when(corner == highest, found) if twist is None else twist.when(corner == highest, found)
+    slope_i, slope_j = (down - up) / 2, (right - left) / 2
+    det = bend_i * bend_j - twist * twist
+    return F.try_divide(twist * slope_j - bend_j * slope_i, det), F.try_divide(twist * slope_i - bend_i * slope_j, det)

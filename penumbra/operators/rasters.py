@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions.geo import map_to_pixel
+from penumbra.operators.regions import sun_lines
 from penumbra.store import settle
 
 
-def sample_nearest(points: DataFrame, pixels: DataFrame, transform: Sequence[float], x: str, y: str, name: str, outside: float | None = 0.0) -> DataFrame:
-    """``points`` with the value of the nearest pixel (halves to even); ``outside`` where there is none."""
+def sample_nearest(points: DataFrame, pixels: DataFrame, transform: Sequence[float], x: str, y: str, name: str, outside: float | None = 0.0, raster: str | None = None) -> DataFrame:
+    """``points`` with the value of the nearest pixel (halves to even); ``outside`` where there is none.
+
+    ``raster`` names the points' column of rasters; without it ``pixels`` are to
+    hold one raster.
+    """
     i, j = map_to_pixel(transform, F.col(x), F.col(y))
     at = points.withColumns({"_i": F.bround(i, 0).cast("bigint"), "_j": F.bround(j, 0).cast("bigint")})
-    grid = pixels.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("value").alias(name))
-    joined = at.join(grid, ["_i", "_j"], "left").drop("_i", "_j")
+    keys = ["_i", "_j"] if raster is None else [raster, "_i", "_j"]
+    grid = pixels.select(*([] if raster is None else [F.col("raster_id").alias(raster)]), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("value").alias(name))
+    joined = at.join(grid, keys, "left").drop("_i", "_j")
     return joined if outside is None else joined.withColumn(name, F.coalesce(name, F.lit(outside)))
 
 
@@ -29,20 +35,24 @@ def _inside(k: Column, size: int, border: str) -> Column:
     return (size - 1) - F.abs(F.pmod(k, F.lit(period)) - (size - 1))
 
 
-def sample_bilinear(points: DataFrame, pixels: DataFrame, transform: Sequence[float], shape: tuple[int, int], x: str, y: str, name: str, key: str, border: str = "clamp") -> DataFrame:
+def sample_bilinear(points: DataFrame, pixels: DataFrame, transform: Sequence[float], shape: tuple[int, int], x: str, y: str, name: str, key: str, border: str = "clamp", raster: str | None = None) -> DataFrame:
     """``points`` with the bilinear value: each point meets its four pixels in one equi-join and sums their weights.
 
     ``key`` names points apart. A point with a missing pixel gets null.
+    ``raster`` names the points' column of rasters; without it ``pixels`` are to
+    hold one raster.
     """
+    own = [] if raster is None else [raster]
     i, j = map_to_pixel(transform, F.col(x), F.col(y))
     if border == "clamp":
         i, j = F.greatest(F.least(i, F.lit(shape[0] - 1.0)), F.lit(0.0)), F.greatest(F.least(j, F.lit(shape[1] - 1.0)), F.lit(0.0))
-    at = points.select(key, i.alias("fi"), j.alias("fj"))
+    at = points.select(key, *own, i.alias("fi"), j.alias("fj"))
     low_i, low_j = F.floor("fi"), F.floor("fj")
     wi, wj = F.col("fi") - low_i, F.col("fj") - low_j
     corners = F.array(*(F.struct(_inside(low_i + a, shape[0], border).alias("i"), _inside(low_j + b, shape[1], border).alias("j"), ((wi if a else 1 - wi) * (wj if b else 1 - wj)).alias("w")) for a in (0, 1) for b in (0, 1)))
-    needed = at.select(key, F.explode(corners).alias("c")).select(key, "c.i", "c.j", "c.w").filter("w > 0")
-    met = needed.join(pixels.select("i", "j", "value"), ["i", "j"], "left")
+    needed = at.select(key, *own, F.explode(corners).alias("c")).select(key, *own, "c.i", "c.j", "c.w").filter("w > 0")
+    grid = pixels.select(*(F.col("raster_id").alias(r) for r in own), "i", "j", "value")
+    met = needed.join(grid, [*own, "i", "j"], "left")
     missing = F.max(F.col("value").isNull())
     values = met.groupBy(key).agg(F.when(~missing, F.sum(F.col("w") * F.col("value"))).alias(name))
     return points.join(values, key, "left")
@@ -96,12 +106,18 @@ def shading(pixels: DataFrame, azimuth: float, zenith: float, spacing: float = 1
     return sloped.withColumn("shade", light)
 
 
-def shadow_cast(pixels: DataFrame, zenith: float, spacing: float = 10.0) -> DataFrame:
-    """``shadow``: under the line of sight of a sun that shines down the rows; one running maximum a column."""
-    fall = spacing / math.tan(math.radians(zenith))
-    raised = F.col("value") + F.col("i") * fall
-    before = Window.partitionBy("raster_id", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return pixels.withColumn("shadow", F.coalesce(F.max(raised).over(before) > raised, F.lit(False)))
+def shadow_cast(pixels: DataFrame, zenith: float, spacing: float = 10.0, azimuth: float = 0.0) -> DataFrame:
+    """``shadow``: under the line of sight of the sun; one running maximum along each line of light.
+
+    ``azimuth`` is the sun's, in degrees clockwise from the direction in which
+    rows fall: at 0 it shines down the rows. Lines of light are a pixel wide,
+    and a step along one is as long as it is on the ground.
+    """
+    a = math.radians(azimuth)
+    fall = spacing / max(abs(math.cos(a)), abs(math.sin(a))) / math.tan(math.radians(zenith))
+    raised = F.col("value") + F.col("_step") * fall
+    before = Window.partitionBy("raster_id", "_line").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    return sun_lines(pixels, azimuth, "_line", "_step").withColumn("shadow", F.coalesce(F.max(raised).over(before) > raised, F.lit(False))).drop("_line", "_step")
 
 
 def shadow_runs(pixels: DataFrame) -> DataFrame:

@@ -109,8 +109,8 @@ def regions(pixels: DataFrame, neighbours: int = 8, side: int = SIDE) -> DataFra
     return joined.select("raster_id", "i", "j", "value", F.coalesce("whole", "part").alias("region"))
 
 
-def sun_lines(pixels: DataFrame, azimuth: float) -> DataFrame:
-    """``pixels`` with ``line`` and ``step``: which line of light a pixel lies on and how far along, away from the sun.
+def sun_lines(pixels: DataFrame, azimuth: float, line: str = "line", step: str = "step") -> DataFrame:
+    """``pixels`` with ``line`` and ``step`` (or the names given): which line of light a pixel lies on and how far along, away from the sun.
 
     ``azimuth`` is the sun's, in degrees clockwise from the direction in which
     rows fall. Lines are one pixel wide across the axis that light follows more.
@@ -120,8 +120,8 @@ def sun_lines(pixels: DataFrame, azimuth: float) -> DataFrame:
         along, across, slope, sign = "i", "j", away_j / away_i, 1 if away_i > 0 else -1
     else:
         along, across, slope, sign = "j", "i", away_i / away_j, 1 if away_j > 0 else -1
-    line = F.floor(F.col(across) - F.col(along) * slope + 0.5 + 1e-9).cast("bigint")
-    return pixels.withColumns({"line": line, "step": (F.col(along) * sign).cast("bigint")})
+    number = F.floor(F.col(across) - F.col(along) * slope + 0.5 + 1e-9).cast("bigint")
+    return pixels.withColumns({line: number, step: (F.col(along) * sign).cast("bigint")})
 
 
 def casters_and_casted(labelled: DataFrame, azimuth: float) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.operators import fourier, polygons, regions, tiles
+from penumbra.operators import fourier, polygons, rasters, regions, tiles
 from penumbra.plans.registry import register
 from penumbra.plans.views import read
 
@@ -212,3 +212,11 @@ def surface_of_shading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of prices taken as shading."""
     g = grid(spark, sf_dir)
     return fourier.surface_of_shading(g, shape_of(g), 40.0, 50.0).select("i", "j", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@register("shadows_along_light", f"""WITH lined AS (SELECT *, CAST(floor(j - i * {_SLOPE}e0 + 5e-1 + 1e-9) AS BIGINT) AS line, value * 1000 + i * (10 / cos(radians(30e0)) / tan(radians(80e0))) AS raised FROM {GRID})
+ SELECT i, j, coalesce(max(raised) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > raised, false) AS shadow FROM lined""")
+def shadows_along_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices taken as heights under a low sun that shines across rows and columns."""
+    heights = grid(spark, sf_dir).select("raster_id", "i", "j", (F.col("value") * 1000).alias("value"))
+    return rasters.shadow_cast(heights, 80.0, azimuth=_AZIMUTH).select("i", "j", "shadow")

@@ -46,3 +46,51 @@ def test_bell_curves_are_found_where_they_stand(spark):
     got = spark.range(1).select(i.alias("i"), j.alias("j"), peaks.gaussian(*line).alias("line"), peaks.parabolic(*curve).alias("curve"), peaks.parabolic(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("flat"), peaks.gaussian(F.lit(-1.0), F.lit(1.0), F.lit(0.5)).alias("none")).first()
     assert (got["i"], got["j"], got["line"], got["curve"]) == pytest.approx((0.2, -0.3, 0.25, 0.25))
     assert got["flat"] is None and got["none"] is None
+
+
+def test_tops_of_bowls_and_crossings(spark):
+    """The top of a bowl comes back from its scores; a slope crosses zero at the middle of a bell."""
+    from penumbra.functions import peaks
+
+    rows = []
+    for k, (i0, j0, twist) in enumerate([(0.2, -0.3, 0.0), (-0.1, 0.25, 0.4), (0.3, 0.3, -0.5)]):
+        scores = [float(5 - 1.5 * (a - i0) ** 2 - 2.0 * (b - j0) ** 2 + twist * (a - i0) * (b - j0)) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        bell = [float(np.exp(-((a - i0) ** 2) / 8)) for a in range(-3, 4)]
+        rows.append((k, i0, j0, scores, bell))
+    df = spark.createDataFrame(rows, "k long, i0 double, j0 double, s array<double>, b array<double>")
+    bowl = peaks.paraboloid([[F.get("s", F.lit(3 * a + b)) for b in range(3)] for a in range(3)])
+    crossing = peaks.gradient_crossing([F.get("b", F.lit(a)) for a in range(7)])
+    for r in df.select("i0", "j0", bowl[0].alias("i"), bowl[1].alias("j"), crossing.alias("c")).collect():
+        assert abs(r["i"] - r["i0"]) < 1e-9 and abs(r["j"] - r["j0"]) < 1e-9 and abs(r["c"] - r["i0"]) < 0.02
+
+
+def test_least_entropy_takes_the_light_out(spark):
+    """Four materials under changing light: the direction of least entropy lies across the direction of light."""
+    from penumbra.operators.entropy import least_entropy, shade_free
+
+    rng = np.random.default_rng(5)
+    light = np.array([np.cos(np.radians(40)), np.sin(np.radians(40))])
+    rows = []
+    for g in ("a", None):
+        for m in range(4):
+            for t in rng.uniform(-2, 2, 300):
+                p = t * light + m * 0.8 * np.array([-light[1], light[0]]) + rng.normal(0, 0.01, 2)
+                rows.append((g, float(p[0]), float(p[1])))
+    df = spark.createDataFrame([*rows, ("a", None, 1.0), ("b", 1.0, 1.0)], "g string, x double, y double")
+    best = {r["g"]: r["direction"] for r in least_entropy(df, ["g"], "x", "y").collect()}
+    assert abs(best["a"] - 130) <= 3 and abs(best[None] - 130) <= 3 and best["b"] == 0
+    out = shade_free(df, ["g"], "x", "y")
+    assert out.columns == ["g", "x", "y", "shadow", "reflectance"] and out.count() == len(rows) + 2
+    assert least_entropy(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def test_sampling_tells_rasters_apart(spark):
+    from penumbra.operators import rasters
+
+    pixels = spark.createDataFrame([(r, i, j, float(k * 100 + 10 * i + j)) for k, r in enumerate("ab") for i in range(3) for j in range(3)], "raster_id string, i long, j long, value double")
+    points = spark.createDataFrame([(1, "a", 1.0, -1.0), (2, "b", 1.5, -0.5), (3, "c", 1.0, -1.0)], "id long, raster string, x double, y double")
+    t = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
+    near = rasters.sample_nearest(points, pixels, t, "x", "y", "z", None, raster="raster")
+    assert sorted(tuple(r) for r in near.select("id", "z").collect()) == [(1, 11.0), (2, 102.0), (3, None)]
+    smooth = rasters.sample_bilinear(points, pixels, t, (3, 3), "x", "y", "z", "id", raster="raster")
+    assert sorted(tuple(r) for r in smooth.select("id", "z").collect()) == [(1, 11.0), (2, 106.5), (3, None)]
