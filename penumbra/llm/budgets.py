@@ -78,7 +78,7 @@ def count_tokens(text_col: str = "text"):
 
 
 def mix(df: DataFrame, levels: Sequence[str], weights: Mapping[Path, float], share: float, max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chosen rows with ``n_tokens`` and ``epoch``; a row comes once for each epoch that takes it.
+    """The chosen rows with ``n_tokens`` and ``epoch``, which replace columns of those names; a row comes once for each epoch that takes it.
 
     The budget is ``share`` of all tokens.
     """

@@ -176,6 +176,6 @@ def predict_texts(texts: pa.Array, model) -> dict[str, pa.Array]:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score, ambiguous and margins."""
+    """All columns of ``docs`` with lang_pred, score, ambiguous and margins, which replace columns of those names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return with_text_columns(docs, text_col, ADDED, partial(predict_texts, model=shared), SLICE_BYTES)
