@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions.geo import map_to_pixel
 from penumbra.operators.regions import sun_lines
+from penumbra.operators.tiles import inverse_distance_mean, median_and_deviation, on_tiles, stencils
 from penumbra.store import settle
 
 
@@ -70,12 +72,7 @@ def neighbours(pixels: DataFrame, radius: int) -> DataFrame:
 
 def stencil(pixels: DataFrame, kernel: dict[tuple[int, int], float], name: str) -> DataFrame:
     """Weighted sum of neighbours (correlation); null where one with a weight is missing."""
-    weights = F.create_map(*(v for (a, b), w in kernel.items() for v in (F.lit(f"{a},{b}"), F.lit(float(w)))))
-    radius = max(max(abs(a), abs(b)) for a, b in kernel)
-    weighted = neighbours(pixels, radius).withColumn("w", weights[F.concat_ws(",", "di", "dj")]).filter("w IS NOT NULL")
-    sums = weighted.groupBy("raster_id", "i", "j").agg(F.sum(F.col("w") * F.col("near")).alias(name), F.count("*").alias("_n"))
-    joined = pixels.join(sums, ["raster_id", "i", "j"], "left")
-    return joined.withColumn(name, F.when(F.col("_n") == len(kernel), F.col(name))).drop("_n")
+    return stencils(pixels, {name: kernel})
 
 
 #: Minus the Laplacian, and optimal 3 by 3 gradients (down and right).
@@ -90,8 +87,7 @@ def curvature(pixels: DataFrame) -> DataFrame:
 
 def slopes(pixels: DataFrame, spacing: float = 10.0) -> DataFrame:
     """``down`` and ``right``: gradients of elevation; ``slope`` and ``aspect`` in degrees."""
-    both = stencil(pixels, {k: w / spacing for k, w in GRADIENT_DOWN.items()}, "down")
-    both = both.join(stencil(pixels, {k: w / spacing for k, w in GRADIENT_RIGHT.items()}, "right").drop("value"), ["raster_id", "i", "j"])
+    both = stencils(pixels, {name: {k: w / spacing for k, w in kernel.items()} for name, kernel in (("down", GRADIENT_DOWN), ("right", GRADIENT_RIGHT))})
     return both.withColumns({"slope": F.degrees(F.atan(F.hypot("down", "right"))), "aspect": F.degrees(F.atan2("down", "right"))})
 
 
@@ -136,27 +132,16 @@ def mask_boundary(pixels: DataFrame) -> DataFrame:
 
 def local_median_filter(pixels: DataFrame, radius: int, limit: float = 1.4826) -> DataFrame:
     """``inlier``: within the median plus or minus limited median deviations of the square around."""
-    near = neighbours(pixels, radius)
-    centre = near.groupBy("raster_id", "i", "j").agg(F.collect_list("near").alias("all"))  # (2 radius + 1)^2 values at most
-    middle = F.expr("sort_array(all)")
-
-    def median(values: Column) -> Column:
-        n = F.size(values)
-        return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
-
-    with_median = centre.withColumn("_m", median(middle))
-    with_mad = with_median.withColumn("_d", median(F.sort_array(F.transform("all", lambda v: F.abs(v - F.col("_m"))))))
-    joined = pixels.join(with_mad.drop("all"), ["raster_id", "i", "j"], "left")
+    spread = on_tiles(pixels, None, radius, partial(median_and_deviation, radius=radius), names=("_m", "_d"))
+    joined = pixels.join(spread, ["raster_id", "i", "j"], "left")
     return joined.withColumn("inlier", F.abs(F.col("value") - F.col("_m")) < F.col("_d") * limit).drop("_m", "_d")
 
 
 def local_fill(pixels: DataFrame, radius: int) -> DataFrame:
     """Null pixels filled by inverse squared distance from the valid ones in the square around."""
-    weight = 1 / (F.pow("di", F.lit(2)) + F.pow("dj", F.lit(2)))
-    near = neighbours(pixels, radius).filter("di <> 0 OR dj <> 0").withColumn("w", weight)
-    around = near.groupBy("raster_id", "i", "j").agg((F.sum(F.col("w") * F.col("near")) / F.sum("w")).alias("_fill"))
-    holes = pixels.filter(F.col("value").isNull()).join(around, ["raster_id", "i", "j"], "left").withColumn("value", F.col("_fill")).drop("_fill")
-    return pixels.filter(F.col("value").isNotNull()).unionByName(holes)
+    made = on_tiles(pixels, None, radius, partial(inverse_distance_mean, radius=radius), names=("_fill",))
+    joined = pixels.join(made, ["raster_id", "i", "j"], "left")
+    return joined.withColumn("value", F.coalesce("value", "_fill")).drop("_fill")
 
 
 def minmax_scale(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

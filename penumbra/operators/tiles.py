@@ -12,7 +12,8 @@ a tile, and a filter's NaN is null afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 import numpy as np
@@ -27,46 +28,57 @@ from penumbra.store import settle
 SIDE = 256
 
 
-def with_tiles(pixels: DataFrame, shape: tuple[int, int], side: int, margin: int) -> DataFrame:
-    """A row of (raster_id, ti, tj, i, j, value) for each tile of the raster that needs the pixel."""
+def with_tiles(pixels: DataFrame, shape: tuple[int, int] | None, side: int, margin: int) -> DataFrame:
+    """A row of (raster_id, ti, tj, i, j, value) for each tile that needs the pixel; without a shape, tiles go on beyond the raster."""
     if not 0 <= margin <= side:
         raise ValueError("a margin reaches no further than the next tile")
 
-    def near(k: str, size: int):
+    def near(k: str, size: int | None):
         own, inside = F.floor(F.col(k) / side), F.pmod(F.col(k), F.lit(side))
-        before, after = F.when((inside < margin) & (own > 0), own - 1), F.when((inside >= side - margin) & ((own + 1) * side < size), own + 1)
+        first, last = (F.lit(False), F.lit(False)) if size is None else (own <= 0, (own + 1) * side >= size)
+        before, after = F.when((inside < margin) & ~first, own - 1), F.when((inside >= side - margin) & ~last, own + 1)
         return F.array_compact(F.array(own, before, after))
 
-    inside = pixels.filter(F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1))
-    return inside.withColumn("ti", F.explode(near("i", shape[0]))).withColumn("tj", F.explode(near("j", shape[1]))).select("raster_id", "ti", "tj", "i", "j", "value")
+    inside = pixels if shape is None else pixels.filter(F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1))
+    rows, columns = shape or (None, None)
+    return inside.withColumn("ti", F.explode(near("i", rows))).withColumn("tj", F.explode(near("j", columns))).select("raster_id", "ti", "tj", "i", "j", "value")
 
 
-def _on_tile(rows: pd.DataFrame, shape: tuple[int, int], side: int, margin: int, make: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
-    ti, tj = int(rows["ti"].iloc[0]), int(rows["tj"].iloc[0])
-    low = [max(0, t * side - margin) for t in (ti, tj)]
-    high = [min(n, (t + 1) * side + margin) for n, t in zip(shape, (ti, tj), strict=True)]
-    own = [(max(0, t * side), min(n, (t + 1) * side)) for n, t in zip(shape, (ti, tj), strict=True)]
-    image = np.full((high[0] - low[0], high[1] - low[1]), np.nan)
+#: From an array to one of its shape, or to several.
+Make = Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, ...]]
+
+
+def _on_tile(rows: pd.DataFrame, shape: tuple[int, int] | None, side: int, margin: int, make: Make, names: Sequence[str]) -> pd.DataFrame:
+    at = int(rows["ti"].iloc[0]), int(rows["tj"].iloc[0])
+    own = [(t * side, (t + 1) * side) for t in at]
+    span = [(a - margin, b + margin) for a, b in own]
+    if shape is not None:
+        own, span = ([(max(0, a), min(n, b)) for n, (a, b) in zip(shape, limits, strict=True)] for limits in (own, span))
+    (top, bottom), (left, right) = span
+    image = np.full((bottom - top, right - left), np.nan)
     i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
-    image[i - low[0], j - low[1]] = rows["value"].to_numpy(float)
+    image[i - top, j - left] = rows["value"].to_numpy(float)
     held = np.zeros(image.shape, bool)
-    held[i - low[0], j - low[1]] = True
-    cut = tuple(slice(a - c, b - c) for (a, b), c in zip(own, low, strict=True))
-    made = make(image)[cut]
+    held[i - top, j - left] = True
+    cut = tuple(slice(a - c, b - c) for (a, b), (c, _) in zip(own, span, strict=True))
+    made = make(image)
     i, j = np.nonzero(held[cut])
-    return pd.DataFrame({"raster_id": rows["raster_id"].iloc[0], "i": i + own[0][0], "j": j + own[1][0], "value": made[i, j]})
+    out = {"raster_id": rows["raster_id"].iloc[0], "i": i + own[0][0], "j": j + own[1][0]}
+    return pd.DataFrame(out | {name: m[cut][i, j] for name, m in zip(names, made if isinstance(made, tuple) else (made,), strict=True)})
 
 
-def on_tiles(pixels: DataFrame, shape: tuple[int, int], margin: int, make: Callable[[np.ndarray], np.ndarray], side: int = SIDE) -> DataFrame:
-    """(raster_id, i, j, value) of the pixels given, after ``make`` of their tile with its margin.
+def on_tiles(pixels: DataFrame, shape: tuple[int, int] | None, margin: int, make: Make, side: int = SIDE, names: Sequence[str] = ("value",)) -> DataFrame:
+    """(raster_id, i, j, names) of the pixels given, after ``make`` of their tile with its margin.
 
-    ``make`` gets an array and returns one of its shape; what lies within
-    ``margin`` of an inner edge of the tile is thrown away.
+    ``make`` gets an array and returns one of its shape, or one for each name;
+    what lies within ``margin`` of an inner edge of the tile is thrown away.
+    Without a shape the array is NaN beyond the raster.
     """
     kind = dict(pixels.dtypes)["raster_id"]
     tiled = with_tiles(pixels.select("raster_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("value").cast("double").alias("value")), shape, side, margin)
-    made = tiled.groupBy("raster_id", "ti", "tj").applyInPandas(lambda rows: _on_tile(rows, shape, side, margin, make), f"raster_id {kind}, i bigint, j bigint, value double")
-    return made.withColumn("value", F.nullif(F.col("value"), F.lit(float("nan"))))
+    ddl = ", ".join(f"`{n}` double" for n in names)
+    made = tiled.groupBy("raster_id", "ti", "tj").applyInPandas(lambda rows: _on_tile(rows, shape, side, margin, make, names), f"raster_id {kind}, i bigint, j bigint, {ddl}")
+    return made.withColumns({n: F.nullif(F.col(f"`{n}`"), F.lit(float("nan"))) for n in names})
 
 
 def in_steps(pixels: DataFrame, shape: tuple[int, int], reach: int, steps: int, make: Callable[[np.ndarray], np.ndarray], side: int = SIDE) -> DataFrame:
@@ -139,6 +151,39 @@ def _diffused(image: np.ndarray, noise: float, pace: float, diagonal: bool) -> n
     return out
 
 
+def median_and_deviation(image: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The median of the valid pixels in the square around each, and the median distance from it."""
+    near = sliding_window_view(np.pad(image, radius, constant_values=np.nan), (2 * radius + 1, 2 * radius + 1)).reshape(*image.shape, -1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # squares without a valid pixel
+        middle = np.nanmedian(near, axis=2)
+        return middle, np.nanmedian(np.abs(near - middle[:, :, None]), axis=2)
+
+
+def inverse_distance_mean(image: np.ndarray, radius: int) -> np.ndarray:
+    """The mean of the valid pixels in the square around each but itself, by inverse squared distance."""
+    near = sliding_window_view(np.pad(image, radius, constant_values=np.nan), (2 * radius + 1, 2 * radius + 1))
+    a, b = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+    weight = np.where((a == 0) & (b == 0), 0.0, 1 / np.maximum(a * a + b * b, 1))
+    valid = ~np.isnan(near)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (np.where(valid, near, 0) * weight).sum((2, 3)) / (valid * weight).sum((2, 3))
+
+
+def _weighed(image: np.ndarray, kernels: Sequence[Mapping[tuple[int, int], float]], radius: int) -> tuple[np.ndarray, ...]:
+    """Weighted sums of the pixels (a, b) away, for each kernel; NaN where one is missing."""
+    rows, columns = image.shape
+    wide = np.pad(image, radius, constant_values=np.nan)
+    return tuple(sum(w * wide[radius + a : radius + a + rows, radius + b : radius + b + columns] for (a, b), w in k.items()) for k in kernels)
+
+
+def stencils(pixels: DataFrame, kernels: Mapping[str, Mapping[tuple[int, int], float]], side: int = SIDE) -> DataFrame:
+    """``pixels`` with the weighted sum of neighbours by each named kernel (correlation), all in one shuffle; null where one with a weight is missing."""
+    radius = max(max(abs(a), abs(b)) for k in kernels.values() for a, b in k)
+    made = on_tiles(pixels, None, radius, partial(_weighed, kernels=[dict(k) for k in kernels.values()], radius=radius), side, tuple(kernels))
+    return pixels.join(made, ["raster_id", "i", "j"], "left")
+
+
 def median_filter(pixels: DataFrame, shape: tuple[int, int], size: int = 5, steps: int = 1, side: int = SIDE) -> DataFrame:
     """The median of the square of ``size`` pixels around each pixel, ``steps`` times."""
     return in_steps(pixels, shape, size // 2, steps, partial(_median, radius=size // 2), side)

@@ -133,6 +133,21 @@ def test_heights_come_back_from_their_shading(spark):
     assert np.allclose(got, height, atol=1e-9)
 
 
+def test_stencils_keep_rows_and_know_missing_pixels(spark, image):
+    from penumbra.operators.rasters import CURVATURE, GRADIENT_DOWN
+
+    df = frame(spark, image).filter("i <> 4 OR j <> 7").withColumn("i", F.col("i") - 5).withColumn("other", F.lit("kept"))
+    rows = tiles.stencils(df, {"bend": CURVATURE, "down": GRADIENT_DOWN}, side=4).collect()
+    assert len(rows) == SHAPE[0] * SHAPE[1] - 1 and all(r["other"] == "kept" for r in rows)
+    held = image.copy()
+    held[4, 7] = np.nan
+    for r in rows:
+        i, j = r["i"] + 5, r["j"]
+        for name, kernel in (("bend", CURVATURE), ("down", GRADIENT_DOWN)):
+            near = [w * held[i + a, j + b] if 0 <= i + a < SHAPE[0] and 0 <= j + b < SHAPE[1] else np.nan for (a, b), w in kernel.items()]
+            assert (r[name] is None) == bool(np.isnan(near).any()) and (r[name] is None or abs(r[name] - sum(near)) < 1e-12)
+
+
 def plain_regions(values, neighbours):
     label = {}
     for start, v in np.ndenumerate(values):
