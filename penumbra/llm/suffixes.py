@@ -125,8 +125,8 @@ class Shard:
             high = np.where(open_ & ~less, middle, high)
         return low
 
-    def occurrences(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the test suffix, position in the shard) of all verbatim occurrences of its first ``length`` words."""
+    def ranges(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the test suffix, low, high): the range of the array whose positions share the first ``length`` words of each suffix that occurs."""
         alive = np.arange(len(first))
         low, high = np.zeros(len(first), np.int64), np.full(len(first), len(self.array), np.int64)
         found_suffix, found_low, found_high, depth = [], [], [], 0
@@ -146,16 +146,32 @@ class Shard:
             found_high.append(high[done])
             alive, low, high = alive[~done], low[~done], high[~done]
         if not found_suffix:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        suffix, low, high = (np.concatenate(x) for x in (found_suffix, found_low, found_high))
-        sizes = high - low
-        where = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+            return (np.zeros(0, np.int64),) * 3
         # later searches sort inside ranges found before, which keeps each range's set of positions
-        return np.repeat(suffix, sizes), self.array[where]
+        return tuple(np.concatenate(x) for x in (found_suffix, found_low, found_high))
 
 
-def _search(shard: Shard, block: Block, window: int) -> tuple[np.ndarray, ...]:
-    """(item, its word, position, window length, longest match) of all windows that occur in the shard."""
+def _spread(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole numbers from each ``low`` on, ``sizes`` of them, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+
+
+class Found(NamedTuple):
+    """What of a block occurs in a shard: windows (position, length), (document, item) pairs, and matches that no word before makes longer."""
+
+    position: np.ndarray
+    length: np.ndarray
+    doc: np.ndarray
+    item: np.ndarray
+    matches: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _search(shard: Shard, block: Block, window: int) -> Found:
+    """All windows of the block that occur in the shard, each range of the array looked at once.
+
+    A longest match has no equal word before both its ends, so only such pairs
+    of test suffix and position are extended: repetitive text has few of them.
+    """
     words = block.words
     known = pc.fill_null(pc.index_in(words.vocab, value_set=shard.vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = np.where(known[words.codes] < 0, -1, known[words.codes] + 1) if len(words.codes) else np.zeros(0, np.int64)
@@ -168,14 +184,38 @@ def _search(shard: Shard, block: Block, window: int) -> tuple[np.ndarray, ...]:
     starts = left >= length
     starts[starts] = strange[first[starts] + length[starts]] == strange[first[starts]]
     item, first, left, length = item[starts], first[starts], left[starts], length[starts]
-    suffix, position = shard.occurrences(codes, first, length)
-    longest, growing = length[suffix].copy(), np.arange(len(suffix))
+    suffix, low, high = shard.ranges(codes, first, length)
+
+    # windows of equal words have one range
+    _, one, of = np.unique(np.stack([low, high, length[suffix]], 1), axis=0, return_index=True, return_inverse=True) if len(suffix) else (None, suffix, suffix)
+    of = of.ravel()
+    held = (high - low)[one]
+    position, in_range = shard.array[_spread(low[one], held)], np.repeat(np.arange(len(one)), held)
+    doc = np.searchsorted(shard.starts, position, side="right") - 1
+    docs_of = np.unique(np.stack([in_range, doc], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+    items_of = np.unique(np.stack([of, item[suffix]], 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+    begin, end = (np.searchsorted(items_of[:, 0], docs_of[:, 0], side=side) for side in ("left", "right"))
+    pairs = np.unique(np.stack([np.repeat(docs_of[:, 1], end - begin), items_of[_spread(begin, end - begin), 1]], 1), axis=0) if len(docs_of) else np.zeros((0, 2), np.int64)
+
+    # positions of a range by the word before them; those with the suffix's own are left out
+    before = np.where(position > 0, shard.codes[position - 1], 0) if len(position) else position
+    wide = np.int64(len(shard.vocab) + 3)
+    order = np.argsort(in_range * wide + before, kind="stable")
+    keys, position_of = (in_range * wide + before)[order], position[order]
+    own = np.where(first[suffix] > words.offsets[item[suffix]], codes[np.maximum(first[suffix] - 1, 0)], -1)
+    range_low, range_high = np.searchsorted(keys, of * wide), np.searchsorted(keys, (of + 1) * wide)
+    same_low = np.where(own < 0, range_low, np.searchsorted(keys, of * wide + own, side="left"))
+    same_high = np.where(own < 0, range_low, np.searchsorted(keys, of * wide + own, side="right"))
+    spans = [(range_low, same_low - range_low), (same_high, range_high - same_high)]
+    who = np.concatenate([np.repeat(suffix, n) for _, n in spans])
+    where = np.concatenate([position_of[_spread(at, n)] for at, n in spans])
+    longest, growing = length[who].copy(), np.arange(len(who))
     while len(growing):
-        growing = growing[(left[suffix[growing]] > longest[growing]) & (position[growing] + longest[growing] < len(shard.codes))]
-        same = codes[first[suffix[growing]] + longest[growing]] == shard.codes[position[growing] + longest[growing]]
+        growing = growing[(left[who[growing]] > longest[growing]) & (where[growing] + longest[growing] < len(shard.codes))]
+        same = codes[first[who[growing]] + longest[growing]] == shard.codes[where[growing] + longest[growing]]
         growing = growing[same]
         longest[growing] += 1
-    return item[suffix], first[suffix] - words.offsets[item[suffix]], position, length[suffix], longest
+    return Found(position, length[suffix][one][in_range], pairs[:, 0], pairs[:, 1], (item[who], first[who] - words.offsets[item[who]], where, longest))
 
 
 def score_texts(texts: pa.Array, blocks: list[str], window: int) -> dict[str, pa.Array]:
@@ -187,12 +227,13 @@ def score_texts(texts: pa.Array, blocks: list[str], window: int) -> dict[str, pa
     longest: list[dict | None] = [None] * n_docs
     for uri in blocks:
         block = _block(uri)
-        item, item_word, position, length, match = _search(shard, block, window)
-        np.add.at(edges, position, 1)
-        np.add.at(edges, position + length, -1)
-        doc = np.searchsorted(shard.starts, position, side="right") - 1
-        for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
+        found = _search(shard, block, window)
+        np.add.at(edges, found.position, 1)
+        np.add.at(edges, found.position + found.length, -1)
+        for d, i in zip(found.doc.tolist(), found.item.tolist(), strict=True):
             items[d].add(block.ids[i])
+        item, item_word, position, match = found.matches
+        doc = np.searchsorted(shard.starts, position, side="right") - 1
         order = np.lexsort((item_word, position, -match, doc))
         best = order[np.concatenate([[True], np.diff(doc[order]) > 0])] if len(order) else order
         for k in best.tolist():

@@ -155,6 +155,56 @@ def test_suffix_arrays_find_every_window(spark, docs, nothing):
     assert find_matches(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_longest_matches_of_random_and_repetitive_texts():
+    """Hits, items and the longest match of every document against plain loops."""
+    import time
+
+    import pyarrow as pa
+
+    from penumbra.llm import suffixes
+
+    def plain(texts, items, window):
+        out = []
+        for t in texts:
+            w, hit, names, best = t.split(), set(), set(), None
+            for name, x in items:
+                v = x.split()
+                size = min(window, len(v))
+                for a in range(len(v) - size + 1 if v else 0):
+                    for p in range(len(w) - size + 1):
+                        if w[p : p + size] == v[a : a + size]:
+                            n = size
+                            while a + n < len(v) and p + n < len(w) and v[a + n] == w[p + n]:
+                                n += 1
+                            hit |= set(range(p, p + size))
+                            names.add(name)
+                            if best is None or (-n, p) < best[:2]:
+                                best = (-n, p)
+            out.append((len(w), len(hit), sorted(names), None if best is None else (-best[0], best[1])))
+        return out
+
+    rng = np.random.default_rng(7)
+    for vocab in (1, 2, 3, 30):
+        texts = [" ".join(f"w{k}" for k in rng.integers(0, vocab, int(rng.integers(0, 60)))) for _ in range(25)]
+        items = [(f"i{k}", " ".join(f"w{k}" for k in rng.integers(0, vocab + 1, int(rng.integers(0, 25))))) for k in range(12)]
+        block = suffixes.Block([n for n, _ in items], suffixes.split_words(pa.array([x for _, x in items]), suffixes.LOWER_ALNUM))
+        real, suffixes._block = suffixes._block, lambda uri, block=block: block
+        try:
+            got = suffixes.score_texts(pa.array(texts), ["one"], 5)
+        finally:
+            suffixes._block = real
+        rows = zip(got["n_words"].to_pylist(), got["n_hit"].to_pylist(), got["items"].to_pylist(), got["longest"].to_pylist(), strict=True)
+        assert [(n, h, i, best and (best["n_words"], best["doc_word"])) for n, h, i, best in rows] == plain(texts, items, 5)
+    block = suffixes.Block(["i"], suffixes.split_words(pa.array(["again " * 2000]), suffixes.LOWER_ALNUM))
+    real, suffixes._block = suffixes._block, lambda uri: block
+    try:
+        began = time.time()
+        got = suffixes.score_texts(pa.array(["again " * 100_000]), ["one"], 10)
+        assert time.time() - began < 30 and got["n_hit"][0].as_py() == 100_000 and got["longest"][0].as_py()["n_words"] == 2000
+    finally:
+        suffixes._block = real
+
+
 def test_quality_measures_and_verdicts(spark, docs, nothing):
     from penumbra.llm.quality import estimate, features, judge
 
