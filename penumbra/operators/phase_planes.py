@@ -221,9 +221,25 @@ def sinogram(q: np.ndarray, w: np.ndarray, seed: int = 0, angles: int = 90, spac
     return _polished(q, w, out)
 
 
+def zoomed(q: np.ndarray, w: np.ndarray, seed: int = 0, finer: int = 50) -> np.ndarray:
+    """The highest place of the correlation surface, computed again around its peak on a grid ``finer`` times as fine."""
+    peak = _peak(q, w)
+    fi, fj = np.fft.fftfreq(q.shape[0]), np.fft.fftfreq(q.shape[1])
+    span, step = 1.0, 0.25
+    while step > 0.5 / finer:
+        axis = np.arange(-span, span + step / 2, step)
+        rows = np.exp(1j * TURN * (peak[0] + axis)[:, None] * fi)
+        columns = np.exp(1j * TURN * fj[:, None] * (peak[1] + axis))
+        surface = np.real(rows @ (w * q) @ columns)
+        at = np.unravel_index(surface.argmax(), surface.shape)
+        peak = peak + np.array([axis[at[0]], axis[at[1]]])
+        span, step = step, step / 4
+    return peak
+
+
 #: Methods by code, each from (phases, weights, seed) to a move (di, dj).
 METHODS: dict[str, Callable[..., np.ndarray]] = {
-    "lsq": least_squares, "pca": components, "diff": differences, "svd": subspace, "tpss": two_point_steps, "ransac": consensus, "hough": votes, "radon": sinogram,
+    "lsq": least_squares, "pca": components, "diff": differences, "svd": subspace, "tpss": two_point_steps, "ransac": consensus, "hough": votes, "radon": sinogram, "zoom": zoomed,
 }
 
 
