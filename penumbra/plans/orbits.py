@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from penumbra.functions import colour, displacements, geo, orbits, transforms
 from penumbra.operators import axes, photohypsometry
+from penumbra.operators.orbits import fit_orbits
 from penumbra.plans.pixels import rounded, rounded_sql
 from penumbra.plans.registry import register
 from penumbra.plans.views import CONNECTIONS, PIXELS, connections, pixels, read
@@ -241,3 +242,27 @@ def caster_view_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     casters = connections(spark, sf_dir).select("row_id", (F.col("x") % 40).alias("caster_X"), ((F.col("row_id") % 7).cast("double") + F.col("x") / 1000.0).alias("caster_Y"))
     out = photohypsometry.with_view_angles(casters, views, views.withColumn("value", F.col("value") / 2 - 8), (0.0, 1.0, 0.0, 0.0, 0.0, 1.0))
     return out.select("row_id", "caster_zn", "caster_az")
+
+
+_GROUP = "c_custkey % 3"
+
+
+@register("orbit_fits", f"SELECT {_GROUP} AS orbit, count(*) AS n, round(716e4 + 1e4 * ({_GROUP}), 1) AS radius, round(985e-1 - 2e-1 * ({_GROUP}), 6) AS inclination FROM customer GROUP BY ALL")
+def orbit_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three orbits seen from places of customers: radius and inclination come back from the directions of sight."""
+    key = F.col("c_custkey")
+    group = key % 3
+    seen = read(spark, sf_dir, "customer").select(
+        group.alias("orbit"), key.alias("row_id"), (group * 0.05 + 0.7).alias("lat"), (group * 0.2).alias("lon"), (group * 1e4 + 7.16e6).alias("radius"), F.radians(98.5 - group * 0.2).alias("inclination"),
+        ((key % 400) / 10.0 - 20).alias("time"), ((key * 7 % 41 - 20) / 1000.0).alias("off_lat"), ((key * 13 % 41 - 20) / 1000.0).alias("off_lon"),
+    )
+    argument, longitude = orbits.node(F.col("lat"), F.col("lon"), F.col("inclination"))
+    place = orbits.orbit_position(F.col("time"), F.col("radius"), F.col("inclination"), 6040.0, argument, longitude)
+    _, lat, lon = orbits.ground_track(F.col("time"), 6040.0, F.col("inclination"), argument, longitude)
+    lat, lon = lat + F.col("off_lat"), lon + F.col("off_lon")
+    ground = [F.cos(lat) * F.cos(lon) * 6_371_000.0, F.cos(lat) * F.sin(lon) * 6_371_000.0, F.sin(lat) * 6_371_000.0]
+    sight = orbits.unit([p - g for p, g in zip(place, ground, strict=True)])
+    rows = seen.select("orbit", "row_id", *(c.alias(f"sight_{x}") for c, x in zip(sight, "xyz", strict=True)), *(c.alias(f"ground_{x}") for c, x in zip(ground, "xyz", strict=True)))
+    start = seen.groupBy("orbit").agg(*((F.min(n) + off).alias(n) for n, off in (("lat", 0.002), ("lon", -0.003), ("radius", 5000.0), ("inclination", 0.001)))).withColumn("period", F.lit(6040.0))
+    found, _ = fit_orbits(rows, ["orbit"], start, rounds=4)
+    return found.select("orbit", "n", F.round("radius", 1).alias("radius"), F.round(F.degrees("inclination"), 6).alias("inclination"))

@@ -145,3 +145,31 @@ def test_view_angles_outside_are_zero(spark):
     rows = spark.createDataFrame([(1, 0.4, 0.2), (2, 0.6, 0.0), (3, 9.0, 9.0)], "id int, caster_X double, caster_Y double")
     out = photohypsometry.with_view_angles(rows, views, views, (0.0, 1.0, 0.0, 0.0, 0.0, 1.0))
     assert {r["id"]: (r["caster_zn"], r["caster_az"]) for r in out.collect()} == {1: (7, 7), 2: (-3, -3), 3: (0, 0)}
+
+
+def test_orbits_come_back_from_their_sights(spark):
+    """Radius, inclination and the times between rows are found; a shift of time along the track is not."""
+    from penumbra.functions import orbits
+    from penumbra.operators.orbits import fit_orbits
+
+    rng = np.random.default_rng(1)
+    truth = {g: (0.7 + 0.05 * g, 0.2 * g, 7.16e6 + 1e4 * g, float(np.radians(98.5 - 0.2 * g)), 6040.0) for g in range(2)}
+    seen = [(g, k, *t, float(rng.uniform(-20, 20)), float(rng.uniform(-0.02, 0.02)), float(rng.uniform(-0.02, 0.02))) for g, t in truth.items() for k in range(40)]
+    df = spark.createDataFrame(seen, "g long, row_id long, lat double, lon double, radius double, inclination double, period double, time double, a double, b double")
+    argument, longitude = orbits.node(F.col("lat"), F.col("lon"), F.col("inclination"))
+    place = orbits.orbit_position(F.col("time"), F.col("radius"), F.col("inclination"), F.col("period"), argument, longitude)
+    _, lat, lon = orbits.ground_track(F.col("time"), F.col("period"), F.col("inclination"), argument, longitude)
+    lat, lon = lat + F.col("a"), lon + F.col("b")
+    ground = [F.cos(lat) * F.cos(lon) * 6.371e6, F.cos(lat) * F.sin(lon) * 6.371e6, F.sin(lat) * 6.371e6]
+    sight = orbits.unit([p - q for p, q in zip(place, ground, strict=True)])
+    rows = df.select("g", "row_id", *(c.alias(f"sight_{x}") for c, x in zip(sight, "xyz", strict=True)), *(c.alias(f"ground_{x}") for c, x in zip(ground, "xyz", strict=True)))
+    start = spark.createDataFrame([(g, t[0] + 0.002, t[1] - 0.003, t[2] + 5000, t[3] + 0.001, t[4]) for g, t in truth.items()] + [(9, 0.1, 0.1, 7e6, 1.7, 6000.0)], "g long, lat double, lon double, radius double, inclination double, period double")
+    found, times = fit_orbits(rows, ["g"], start, 4)
+    got = {r["g"]: r for r in found.collect()}
+    assert set(got) == set(truth)
+    for g, t in truth.items():
+        assert got[g]["n"] == 40 and got[g]["rms"] < 1e-9 and abs(got[g]["radius"] - t[2]) < 1e-2 and abs(got[g]["inclination"] - t[3]) < 1e-9
+    found_times = {(r["g"], r["row_id"]): r["time"] for r in times.collect()}
+    for g in truth:
+        off = [found_times[r[0], r[1]] - r[7] for r in seen if r[0] == g]
+        assert max(off) - min(off) < 1e-6
