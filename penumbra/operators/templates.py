@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from penumbra.operators import matching, phase_planes
 from penumbra.operators.tiles import SIDE, with_tiles
+from penumbra.store import settle
 
 
 def _cut(posts: pd.DataFrame, pixels: pd.DataFrame, radius: int, side: int) -> pd.DataFrame:
@@ -51,22 +52,27 @@ def _pairs(posts: DataFrame, first: DataFrame, second: DataFrame, moved: DataFra
     return a.join(b, "id").filter("template_1 IS NOT NULL AND template_2 IS NOT NULL")
 
 
-def match_posts(posts: DataFrame, first: DataFrame, second: DataFrame, shape: tuple[int, int], radius: int, correlator: str = "phas_only", refine: str | None = "tpss", side: int = SIDE) -> DataFrame:
+def match_posts(posts: DataFrame, first: DataFrame, second: DataFrame, shape: tuple[int, int], radius: int, correlator: str = "grad_norm", refine: str | None = "tpss", side: int = SIDE, cuts: int = 2) -> DataFrame:
     """(id, di, dj, peak, agreement): how far the surroundings of each post moved from ``first`` to ``second``.
 
     Templates at the same place are correlated to a whole pixel; the second
     template is then cut anew at the place found, where the two overlap most,
-    and the plane of their phases gives the rest. Posts without both templates
-    are left out; without ``refine`` (a method of ``phase_planes``) moves are
+    and the plane of their phases gives the rest; that is done ``cuts`` times, as
+    the first whole pixel may be one off. Posts without both templates are left
+    out; without ``refine`` (a method of ``phase_planes``) moves are
     whole pixels and agreement is null.
     """
     coarse = matching.match(_pairs(posts, first, second, posts, shape, radius, side), "id", correlator, None).select("id", "di", "dj", "peak")
     if refine is None:
         return coarse.withColumn("agreement", F.lit(None).cast("double"))
-    moved = posts.join(coarse, "id").select("raster_id", "id", (F.col("i") + F.col("di")).cast("bigint").alias("i"), (F.col("j") + F.col("dj")).cast("bigint").alias("j"))
-    fine = phase_planes.fit_planes(_pairs(posts, first, second, moved, shape, radius, side), "id", refine)
-    whole = coarse.withColumnsRenamed({"di": "whole_i", "dj": "whole_j"})
-    return fine.join(whole, "id").select("id", (F.col("whole_i") + F.col("di")).alias("di"), (F.col("whole_j") + F.col("dj")).alias("dj"), "peak", "agreement")
+    found = coarse.withColumn("agreement", F.lit(None).cast("double"))
+    for _ in range(cuts):
+        found = settle(found, "moves")
+        whole = found.select("id", F.round("di").alias("whole_i"), F.round("dj").alias("whole_j"), "peak")
+        moved = posts.join(whole, "id").select("raster_id", "id", (F.col("i") + F.col("whole_i")).cast("bigint").alias("i"), (F.col("j") + F.col("whole_j")).cast("bigint").alias("j"))
+        fine = phase_planes.fit_planes(_pairs(posts, first, second, moved, shape, radius, side), "id", refine)
+        found = fine.join(whole, "id").select("id", (F.col("whole_i") + F.col("di")).alias("di"), (F.col("whole_j") + F.col("dj")).alias("dj"), "peak", "agreement")
+    return found
 
 
 def masked_correlation(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
