@@ -57,12 +57,15 @@ def share_in_ellipse(df: DataFrame, keys: Sequence[str], x: str, y: str, scale:
     """``keys``, n and the share ``inside`` of displacements (x, y) within the error ellipse of their group's covariance times ``scale``.
 
     Rows with a null displacement are left out; a group whose covariance has no
-    inverse has a null share.
+    inverse has a null share. Moments merged from several tasks leave a trace of
+    rounding where a displacement doesn't vary; there they are 0.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.select(*(F.col(k).alias(f"k{at}") for at, k in enumerate(keys)), F.col(x).alias("x"), F.col(y).alias("y"))
     groups = [f"k{at}" for at in range(len(keys))]
-    sums = rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in groups)).agg(F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy"))
+    fixed = {c: F.min(c) == F.max(c) for c in "xy"}
+    moments = {"xx": (F.var_samp("x"), fixed["x"]), "yy": (F.var_samp("y"), fixed["y"]), "xy": (F.covar_samp("x", "y"), fixed["x"] | fixed["y"])}
+    sums = rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in groups)).agg(*(F.when(still & m.isNotNull(), F.lit(0.0)).otherwise(m).alias(n) for n, (m, still) in moments.items()))
     same = F.lit(True)
     for k in groups:
         same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))

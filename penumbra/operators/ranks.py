@@ -74,7 +74,9 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
     """(keys, n, rho): Spearman's correlation of two columns of each group, over rows that have both; null if one doesn't vary."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     placed = ranked(ranked(rows, keys, "x", "rank_x"), keys, "y", "rank_y").filter("rank_x IS NOT NULL AND rank_y IS NOT NULL")
-    return placed.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rank_x", "rank_y"), F.stddev_pop("rank_x") * F.stddev_pop("rank_y")).alias("rho"))
+    varies = (F.min("rank_x") < F.max("rank_x")) & (F.min("rank_y") < F.max("rank_y"))  # merged deviations of equal ranks may be a trace above 0
+    rho = F.try_divide(F.covar_pop("rank_x", "rank_y"), F.stddev_pop("rank_x") * F.stddev_pop("rank_y"))
+    return placed.groupBy(*keys).agg(F.count("*").alias("n"), F.when(varies, rho).alias("rho"))
 
 
 def moore(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

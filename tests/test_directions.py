@@ -33,3 +33,14 @@ def test_share_in_ellipse(spark):
     inverse = np.linalg.inv(np.cov(xy, rowvar=False))
     assert got[1]["n"] == 200 and got[1]["inside"] == pytest.approx((np.einsum("ij,jk,ik->i", xy, inverse, xy) < 1).mean())
     assert got[2]["n"] == 2 and got[2]["inside"] is None
+
+
+def test_a_displacement_that_does_not_vary_has_no_ellipse(spark):
+    from penumbra.operators import directions
+
+    # 0.5 / 103 * 103 is below 0.5, so means merged from several tasks differ by rounding
+    sizes = (103, 107)
+    rows = spark.sparkContext.parallelize(range(2), 2).flatMap(lambda k: [(1, 0.5, at % 13 / 10.0) for at in range(sizes[k])])
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    for x, y in ("xy", "yx"):
+        assert [tuple(r) for r in directions.share_in_ellipse(df, ["g"], x, y).collect()] == [(1, 210, None)]
