@@ -149,3 +149,21 @@ def test_rings_over_the_antimeridian(spark):
     assert {r["id"]: r["count"] for r in parts.groupBy("id").count().collect()} == {1: 2, 2: 1}
     places = spark.createDataFrame([(k, [(x, 11.0), (x + 0.1, 11.0), (x, 11.1)]) for k, x in enumerate((179.5, -179.6, 0.2, 178.0))], "id long, ring array<struct<x: double, y: double>>")
     assert {(r["id_1"], r["id_2"]) for r in polygons.meeting(parts, places, 1.0).collect()} == {(1, 0), (1, 1)}
+
+
+def test_crowded_polygons_meet_slice_by_slice(spark, monkeypatch):
+    """Copies of a few rings in one cell, in slices of two rings: each ring is compared once for all its ids."""
+    from penumbra.operators import polygons
+
+    monkeypatch.setattr(polygons, "RINGS", 2)
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+    kinds = [square(5.0, 5.0, 4.0), square(5.1, 5.2, 1.0), square(8.0, 8.5, 3.0), square(40.0, 5.0, 1.0), [(4.0, 4.5), (5.5, 4.0), (5.0, 6.0)]]
+    ddl = "id long, ring array<struct<x: double, y: double>>"
+    a, b = (spark.createDataFrame(list(enumerate(kinds)), ddl).select(F.col("id").alias(i), F.col("ring").alias(r)) for i, r in (("i", "p"), ("j", "q")))
+    p, q = F.col("p"), F.col("q")
+    relation = F.when(polygons.rings_cross(p, q), "crosses").when(polygons.ring_holds(p, q[0]), "holds").when(polygons.ring_holds(q, p[0]), "within")
+    want = {(r["i"], r["j"]): r["relation"] for r in a.crossJoin(b).select("i", "j", relation.alias("relation")).collect()}
+    assert want[0, 1] == "holds" and want[1, 0] == "within" and want[0, 2] == "crosses" and want[0, 3] is None
+    df = spark.createDataFrame([(k, kinds[k % 5]) for k in range(60)], ddl)
+    got = {(r["id_1"], r["id_2"]): r["relation"] for r in polygons.meeting(df, df, 16.0).collect()}
+    assert got == {(a, b): r for a in range(60) for b in range(60) if (r := want[a % 5, b % 5])}
