@@ -87,13 +87,21 @@ def temporal_weights(observations: DataFrame, keys: Sequence[str] = ()) -> DataF
 
 
 def temporal_covariance(observations: DataFrame, keys: Sequence[str] = (), coefficient: float = 0.5) -> DataFrame:
-    """(obs_1, obs_2, covariance) of observations of one key that share an epoch."""
-    ends = observations.select(*keys, "obs_id", F.explode(F.array("t_1", "t_2")).alias("t")).distinct()
+    """(obs_1, obs_2, covariance) of observations of one key that share an epoch.
+
+    Each observation carries its earlier epochs, and a pair is taken from the
+    first epoch that both have, so pairs need no shuffle to be made distinct.
+    """
+    named = {f"k{at}": F.col(f"`{k}`") for at, k in enumerate(keys)}
+    rows = observations.select(F.col("obs_id"), *(c.alias(k) for k, c in named.items()), F.explode(F.array("t_1", "t_2")).alias("t")).dropna()
+    epochs = rows.groupBy("obs_id").agg(F.sort_array(F.collect_set(F.struct("t", *named))).alias("epochs"))  # two a row of an observation
+    ends = epochs.select("obs_id", "epochs", F.posexplode("epochs").alias("at", "epoch"))
+    ends = ends.select("obs_id", "epoch.*", F.slice("epochs", F.lit(1), F.col("at")).alias("earlier"))
     a, b = ends.alias("a"), ends.alias("b")
-    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.obs_id") < F.col("b.obs_id"))
-    for k in keys:
+    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.obs_id") < F.col("b.obs_id")) & ~F.arrays_overlap("a.earlier", "b.earlier")
+    for k in named:
         same &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    return a.join(b, same).select(F.col("a.obs_id").alias("obs_1"), F.col("b.obs_id").alias("obs_2"), F.lit(coefficient).alias("covariance")).distinct()
+    return a.join(b, same).select(F.col("a.obs_id").alias("obs_1"), F.col("b.obs_id").alias("obs_2"), F.lit(coefficient).alias("covariance"))
 
 
 def _solve(group: pd.DataFrame) -> pd.DataFrame:

@@ -147,3 +147,13 @@ def test_connection_file_round_trip(spark, tmp_path):
     path = conn.write(df, f"file://{tmp_path}/conn")
     got = conn.read(spark, path).orderBy("timestamp").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in df.orderBy("timestamp").collect()]
+
+
+def test_observations_that_share_two_epochs_are_one_pair(spark):
+    df = spark.createDataFrame([(1, 7, 10, 20), (2, 7, 10, 20), (3, 7, 20, 10), (4, 8, 10, 20), (5, 7, 20, 30), (2, 8, 10, 11), (6, 7, None, 30), (None, 7, 10, 20), (1, 8, 11, 20)], "obs_id int, g int, t_1 int, t_2 int")
+    out = photohypsometry.temporal_covariance(df, ["g"])
+    got = sorted((r["obs_1"], r["obs_2"]) for r in out.collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 5), (5, 6)]
+    # pairs are made distinct without a shuffle of their own
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
