@@ -2,8 +2,9 @@
 
 Log ratios of bands move along one direction as light changes. Seen along that
 direction the histogram is narrowest, so its entropy is least. All directions
-are counted in one aggregation: a pixel goes to its bin of each direction, and
-counts are added up before they are shuffled.
+are counted in one aggregation: pixels of equal values are counted first, go to
+their bin of each direction together, and counts are added up before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -41,11 +42,13 @@ def direction_entropies(df: DataFrame, keys: Sequence[str], x: str, y: str, dire
     same = F.lit(True)
     for k in groups:
         same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    met = (rows.join(moments, same) if groups else rows.crossJoin(F.broadcast(moments))).withColumn("d", F.explode(angles))  # one row without keys
+    # pixels of equal values fall into equal bins
+    places = rows.groupBy(*groups, "x", "y").agg(F.count("*").alias("one"))
+    met = (places.join(moments, same) if groups else places.crossJoin(F.broadcast(moments))).withColumn("d", F.explode(angles))  # one row without keys
     spread = F.sqrt(F.greatest(F.expr("xx * d.c * d.c + 2 * xy * d.c * d.s + yy * d.s * d.s"), F.lit(0.0)))
     width = 3.5 * spread * F.pow("n", F.lit(-1 / 3))
     bins = F.when(width > 1e-12, F.floor(F.expr("x * d.c + y * d.s") / width)).otherwise(F.lit(0).cast("long"))
-    counts = met.groupBy(*groups, "d.direction", "n", bins.alias("bin")).agg(F.count("*").alias("m"))
+    counts = met.groupBy(*groups, "d.direction", "n", bins.alias("bin")).agg(F.sum("one").alias("m"))
     share = F.col("m") / F.col("n")
     found = counts.groupBy(*groups, "direction", "n").agg(F.sum(-share * F.log2(share)).alias("entropy"))
     return found.select(*(F.col(k).alias(name) for k, name in zip(groups, keys, strict=True)), "direction", "n", "entropy")

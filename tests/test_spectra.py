@@ -94,3 +94,13 @@ def test_sampling_tells_rasters_apart(spark):
     assert sorted(tuple(r) for r in near.select("id", "z").collect()) == [(1, 11.0), (2, 102.0), (3, None)]
     smooth = rasters.sample_bilinear(points, pixels, t, (3, 3), "x", "y", "z", "id", raster="raster")
     assert sorted(tuple(r) for r in smooth.select("id", "z").collect()) == [(1, 11.0), (2, 106.5), (3, None)]
+
+
+def test_pixels_of_equal_values_are_turned_once(spark):
+    from penumbra.operators.entropy import direction_entropies
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7 / 7.0).alias("x"), (F.col("id") % 5 / 5.0).alias("y"))
+    plan = direction_entropies(df, ["g"], "x", "y", 4)._jdf.queryExecution().optimizedPlan().toString()
+    # directions are dealt out above a count of equal values
+    dealt = plan[plan.index("explode"):]
+    assert dealt.index("count(1) AS one") < dealt.index("var_pop") if "var_pop" in dealt else "count(1) AS one" in dealt
