@@ -50,12 +50,17 @@ def locate(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str =
 
 
 def boxes_overlap(first: DataFrame, second: DataFrame, size: float = 1.0) -> DataFrame:
-    """(id_1, id_2) of boxes (id, west, east, south, north) that share area; each pair once, by shared grid cells."""
+    """(id_1, id_2) of boxes (id, west, east, south, north) that share area.
+
+    Each pair of boxes comes once, from the grid cell where their overlap
+    begins, so no task keeps pairs to make them distinct.
+    """
     cells = _cells(F.col("west"), F.col("east"), F.col("south"), F.col("north"), size)
     tiled = [df.withColumn("c", F.explode(cells)).select("*", "c.cx", "c.cy").alias(k) for df, k in ((first, "a"), (second, "b"))]
     same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     area = (F.col("a.west") < F.col("b.east")) & (F.col("b.west") < F.col("a.east")) & (F.col("a.south") < F.col("b.north")) & (F.col("b.south") < F.col("a.north"))
-    return tiled[0].join(tiled[1], same & area).select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2")).distinct()
+    begins = (F.col("a.cx") == F.floor(F.greatest("a.west", "b.west") / size)) & (F.col("a.cy") == F.floor(F.greatest("a.south", "b.south") / size))
+    return tiled[0].join(tiled[1], same & area & begins).select(F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"))
 
 
 def well_known_text(ring: str = "ring") -> Column:
