@@ -74,7 +74,9 @@ def fit_orbits(rows: DataFrame, keys: Sequence[str], start: DataFrame, rounds: i
     keys = list(keys)
     types = dict(start.dtypes)
     orbits = settle(start.select(*keys, *UNKNOWNS, "period"), "orbits")
-    seen = settle(rows.select(*keys, "row_id", *_SIGHT, *_GROUND, F.lit(0.0).alias("time")), "sights")
+    # a row has few bytes and much work, so files of rows are too large for a task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = settle(rows.select(*keys, "row_id", *_SIGHT, *_GROUND, F.lit(0.0).alias("time")).repartition(parts, "row_id"), "sights")
     for _ in range(rounds):
         terms = _terms(seen.join(orbits, keys), keys).filter("v[0] IS NOT NULL AND d_time[0] IS NOT NULL")
         weight = 1 / _dot("d_time", "d_time")
