@@ -12,6 +12,7 @@ from penumbra.plans.matching import templates as embedding_pairs
 from penumbra.plans.registry import register
 from penumbra.plans.tiles import COLS, GRID, grid, shape_of
 from penumbra.plans.views import read
+from penumbra.store import settle
 
 _POSTS = f"(SELECT s_suppkey AS id, (s_suppkey * 7) % {{rows}} AS i, (s_suppkey * 11) % {COLS} AS j FROM supplier)"
 _ROWS = f"(SELECT max(i) + 1 FROM {GRID})"
@@ -80,6 +81,9 @@ def phase_plane_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").filter("size(embedding) = 64").select("vec_id", F.col("embedding").cast("array<double>").alias("template_1"))
     move = (F.col("vec_id") % 7 / 10.0 - 0.3, F.col("vec_id") % 5 / 10.0 - 0.2)
     pairs = e.select("vec_id", "template_1", _moved(F.col("template_1"), *move).alias("template_2"), move[0].alias("true_i"), move[1].alias("true_j"))
+    # the methods share the moved templates, which have few bytes and much work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = settle(pairs.repartition(parts, "vec_id"), "pairs")
     out = None
     for name in phase_planes.METHODS:
         found = phase_planes.fit_planes(pairs, "vec_id", name, tapered=False).join(pairs.select("vec_id", "true_i", "true_j"), "vec_id")
