@@ -335,6 +335,23 @@ def test_short_lines_with_a_letter_changed_go(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0, 7: 1, 8: 0, 9: 0, 10: 0}
 
 
+def test_a_feature_of_many_lines_keeps_its_partners(spark, monkeypatch):
+    """Near lines meet by one shared feature, or by one of many and one of few lines, however many others hold the feature."""
+    from penumbra.llm import lines
+
+    monkeypatch.setattr(lines, "LEAST", 1)
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(400)]
+    phrase = min(([str(w) for w in rng.choice(vocab, 2)] for _ in range(300)), key=lambda p: int(lines.mixed(lines.xxhash.xxh3_64_intdigest(p[0].encode()) * np.array([lines._K1]) + np.uint64(lines.xxhash.xxh3_64_intdigest(p[1].encode())))[0]))
+    texts = [[*phrase, *(str(w) for w in rng.choice(vocab, 12))] for _ in range(300)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    rows += [(1000 + k, " ".join([*texts[k][:8], "other", *texts[k][9:]])) for k in range(0, 300, 3)]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[k] for k in range(300))
+    # a word of fourteen replaced leaves some pairs beyond FEW_BITS
+    assert np.mean([got[1000 + k] for k in range(0, 300, 3)]) > 0.9
+
+
 def test_simhash_matches_a_plain_count():
     from penumbra.llm.lines import simhashes
 
