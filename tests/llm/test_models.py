@@ -138,6 +138,17 @@ def test_language_model_counts_exactly_and_beats_the_base(docs, nothing):
     assert M.score(nothing, learned).count() == 0
 
 
+def test_classes_come_from_all_training_texts(spark, monkeypatch):
+    from penumbra.llm import mixing_lm as M
+
+    seen = {}
+    monkeypatch.setattr(M, "fit_classes", lambda words, together: seen.update(words=words, together=together))
+    M.text_classes(spark.createDataFrame([(f"all some w{k % 7}",) for k in range(5000)], "text string"))
+    of = {w: k for k, w in enumerate(seen["words"])}
+    assert seen["together"][of[b"all"], of[b"some"]] == 5000
+    assert [seen["together"][of[b"all"], of[b"w%d" % k]] for k in range(7)] == [len(range(k, 5000, 7)) for k in range(7)]
+
+
 def test_bits_are_a_probability(docs):
     """The chances of all first bytes, with what follows left open, add up to one."""
     from penumbra.llm import mixing_lm as M
