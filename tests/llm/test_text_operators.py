@@ -380,3 +380,43 @@ def test_ring_is_even_stable_and_gapless(spark, docs, nothing):
     assert shard_rows(nothing, [F.col("doc_id")], [F.col("text")]).count() == 0
     hot = spark.range(900).select(F.lit(1).alias("k"), F.col("id"))
     assert set(Counter(r["shard"] for r in shard_rows(hot, [F.col("k")], [F.col("id")], 3).collect()).values()) == {300}
+
+
+def test_edit_distances_of_many_pairs_against_a_table(monkeypatch):
+    """Texts of none to many words of bits, with few and many edits, at, above and below their distance."""
+    from penumbra.llm import edits
+
+    rng = np.random.default_rng(1)
+    pairs = []
+    for n in (0, 1, 2, 5, 20, 63, 64, 65, 128, 129, 300):
+        for _ in range(6):
+            a = [str(x) for x in rng.choice(list("abcdé漢字"), n)]
+            b = list(a)
+            for _ in range(rng.integers(0, n // 2 + 2)):
+                at, how = int(rng.integers(len(b) + 1)), rng.integers(3)
+                b[at : at + (how > 0)] = ["x"] * int(how < 2)
+            pairs.append(("".join(a), "".join(b)))
+    a, b = (list(x) for x in zip(*pairs, strict=True))
+    exact = np.array([distance(*p) for p in pairs])
+    for look, few in ((1, 0), (48, 6), (7, 6)):
+        monkeypatch.setattr(edits, "LOOK", look)
+        monkeypatch.setattr(edits, "FEW_WORDS", few)
+        for off in (-1, 0, 1, 4):
+            assert (edits.within(a, b, exact + off) == (off >= 0)).all()
+
+
+def test_pairs_of_common_short_words_are_features_of_lines_that_lack_others():
+    """So features of many lines, whose comparisons grow with their square, are few; a line of short words alone keeps all."""
+    from penumbra.llm import lines
+
+    words = [b"of", b"the", b"longer", b"phrases", b"in", b"sentences", b"the", b"of", b"in", b"the"]
+    vocab = sorted(set(words))
+    hashes = np.array([lines.xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64)
+    codes = np.array([vocab.index(w) for w in words])
+    sizes = np.array([len(w) for w in vocab])[codes]
+    found = lines.pair_features(hashes[codes], sizes, np.array([0, 7, 10]), np.ones(2, bool))
+    line, token = lines.least_features(*found, np.array([3, 3]))
+    late = token >> np.uint64(63)
+    assert (line == 0).sum() == 3 and not late[line == 0].any()  # longer phrases, phrases sentences, longer sentences
+    assert (line == 1).sum() == 3 and late[line == 1].all()
+    assert len(lines.least_features(*found, np.array([8, 8]))[0]) == 11
