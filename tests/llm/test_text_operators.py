@@ -405,6 +405,59 @@ def test_edit_distances_of_many_pairs_against_a_table(monkeypatch):
             assert (edits.within(a, b, exact + off) == (off >= 0)).all()
 
 
+def test_groups_of_near_texts_are_those_of_all_pairs(monkeypatch):
+    """And copies of one text cost about one comparison each, not one for each pair of them."""
+    from penumbra.llm import edits
+
+    rng = np.random.default_rng(11)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopé"), rng.integers(1, 9))) for _ in range(200)]
+    texts = []
+    for n in (1, 3, 8, 30, 120):
+        for _ in range(3):
+            words = [str(w) for w in rng.choice(vocab, n)]
+            for _ in range(12):
+                copy = list(words)
+                for _ in range(rng.integers(0, n // 3 + 2)):
+                    at, how = int(rng.integers(len(copy) + 1)), rng.integers(3)
+                    copy[at : at + int(how > 0)] = [str(rng.choice(vocab))] * int(how < 2)
+                texts.append(" ".join(copy))
+    held = edits.Texts(texts)
+    i, j = (np.array(x) for x in zip(*((a, b) for a in range(len(texts)) for b in range(a)), strict=True))
+    most = np.floor(0.2 * np.maximum(held.length[i], held.length[j]) + 1e-9).astype(np.int64)
+    near = np.array([distance(texts[a], texts[b]) <= k if abs(len(texts[a]) - len(texts[b])) <= k else False for a, b, k in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)])
+    expected = np.arange(len(texts))
+    for _ in range(20):
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    assert len(np.unique(expected)) < len(texts)
+    for few, one in ((0, 128), (24, 128), (10_000, 128), (10_000, 1)):
+        monkeypatch.setattr(edits, "FEW_PAIRS", few)
+        monkeypatch.setattr(edits, "ONE_WORDS", one)
+        assert (edits.groups(held, i, j, most) == expected).all()
+        assert (edits.within([texts[k] for k in i], [texts[k] for k in j], most) == near).all()
+    copies, asked, compared = edits.Texts([f"{k} " + "words of one long line " * 20 for k in range(100)]), [], edits.compared
+    monkeypatch.setattr(edits, "WAVE", 1)
+    monkeypatch.setattr(edits, "compared", lambda texts, i, *more: asked.append(len(i)) or compared(texts, i, *more))
+    i, j = np.triu_indices(100, 1)
+    assert (edits.groups(copies, i, j, np.full(len(i), 9)) == 0).all() and sum(asked) == 99
+
+
+def test_short_lines_of_other_letters_do_not_become_candidates():
+    """Two shared features of many lines don't bring the texts of short lines together if their letters are too many edits apart."""
+    import pyarrow as pa
+
+    from penumbra.llm import lines
+
+    texts = [b"the longest abcdefgh", b"the longest ijklmnop", b"the longest abcdefgx", b"the longest qrstuvwx"]
+    _, letters = lines._bigrams(texts)
+    packed = [x.tobytes() for x in letters[:, ::2] | letters[:, 1::2] << 4]
+    n = len(texts)
+    columns = {"line": range(n), "component": range(n), "size": [-len(t) for t in texts], "sim_1": [0] * n, "sim_2": [0] * n, "own": [0] * n, "hot": [[1, 2]] * n, "letters": packed}
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    found = lines._compare(pa.table([pa.array(list(v), t) for v, t in zip(columns.values(), kinds, strict=True)], list(columns)), 0.8).to_pylist()
+    assert [sorted(r.values()) for r in found] == [[0, 2]]
+
+
 def test_pairs_of_common_short_words_are_features_of_lines_that_lack_others():
     """So features of many lines, whose comparisons grow with their square, are few; a line of short words alone keeps all."""
     from penumbra.llm import lines
