@@ -16,7 +16,7 @@ others know that phases wrap.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN = 2 * np.pi
+#: Votes that are counted at once.
+AT_ONCE = 1 << 16
 
 
+@lru_cache(maxsize=16)
 def frequencies(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies down and to the right of each cell of a spectrum, in cycles a pixel."""
-    return np.fft.fftfreq(shape[0])[:, None] * np.ones(shape[1]), np.ones(shape[0])[:, None] * np.fft.fftfreq(shape[1])
+    """Frequencies down and to the right of each cell of a spectrum, in cycles a pixel; not to be written to."""
+    found = np.fft.fftfreq(shape[0])[:, None] * np.ones(shape[1]), np.ones(shape[0])[:, None] * np.fft.fftfreq(shape[1])
+    for f in found:
+        f.flags.writeable = False
+    return found
 
 
 def cross_spectrum(a: np.ndarray, b: np.ndarray, tapered: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -146,18 +152,22 @@ def consensus(q: np.ndarray, w: np.ndarray, seed: int = 0, trials: int = 300, li
         return np.zeros(2)
     f = np.stack([x.ravel()[used] for x in frequencies(q.shape)], 1)
     turns, weight = -np.angle(q).ravel()[used] / TURN, w.ravel()[used]
-    rng = np.random.default_rng(seed)
-    pairs = rng.integers(0, len(used), (trials, 2))
+    pairs = np.random.default_rng(seed).integers(0, len(used), (trials, 2))
+    # of pairs drawn again, in either order, only the first can win
+    low, high = pairs.min(1), pairs.max(1)
+    a, b = pairs[np.sort(np.unique(low * len(used) + high, return_index=True)[1])].T
+    det = f[a, 0] * f[b, 1] - f[a, 1] * f[b, 0]
+    a, b, det = (x[np.abs(det) >= 1e-6] for x in (a, b, det))
     reach = np.ceil(np.abs(f).sum(1) * most).astype(int)
-    best, moves = -1.0, []
-    for a, b in pairs:
-        matrix = f[[a, b]]
-        if abs(np.linalg.det(matrix)) < 1e-6:
-            continue
-        whole = np.stack(np.meshgrid(np.arange(-reach[a], reach[a] + 1), np.arange(-reach[b], reach[b] + 1)), -1).reshape(-1, 2)
-        found = np.linalg.solve(matrix, (turns[[a, b]] + whole).T).T
-        moves.append(found[np.abs(found).max(1) <= most])
-    moves = np.concatenate([np.zeros((1, 2)), *moves])
+    # turns of each pair, those of its second point outside
+    wide = 2 * reach + 1
+    count = wide[a] * wide[b]
+    pair = np.repeat(np.arange(len(a)), count)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+    x = turns[a][pair] + at % wide[a][pair] - reach[a][pair]
+    y = turns[b][pair] + at // wide[a][pair] - reach[b][pair]
+    found = np.stack([f[b, 1][pair] * x - f[a, 1][pair] * y, f[a, 0][pair] * y - f[b, 0][pair] * x], 1) / det[pair, None]
+    best, moves = -1.0, np.concatenate([np.zeros((1, 2)), found[np.abs(found).max(1) <= most]])
     out = np.zeros(2)
     for first in range(0, len(moves), 512):
         some = moves[first : first + 512]
@@ -193,11 +203,14 @@ def votes(q: np.ndarray, w: np.ndarray, seed: int = 0, spacing: float = 0.5, wid
     fi, fj = (f[used] for f in frequencies(q.shape))
     turns, weight = -np.angle(q[used]) / TURN, w[used]
     best, out = -1.0, np.zeros(2)
-    for di in axis:
-        off = fi * di + fj * axis[:, None] - turns
-        held = (weight / (1 + ((off - np.round(off)) / width) ** 2)).sum(1)
+    rows = max(1, AT_ONCE // max(1, len(axis) * len(turns)))
+    for first in range(0, len(axis), rows):
+        some = axis[first : first + rows]
+        off = fi * some[:, None, None] + fj * axis[:, None] - turns
+        held = (weight / (1 + ((off - np.round(off)) / width) ** 2)).sum(2)
         if held.max() > best:
-            best, out = held.max(), np.array([di, axis[held.argmax()]])
+            i, j = np.unravel_index(held.argmax(), held.shape)
+            best, out = held.max(), np.array([some[i], axis[j]])
     return _polished(q, w, out)
 
 
@@ -209,15 +222,16 @@ def sinogram(q: np.ndarray, w: np.ndarray, seed: int = 0, angles: int = 90, spac
     fi, fj = (f[used] for f in frequencies(q.shape))
     points = (w * q)[used]
     cells = 2 * max(q.shape)
-    best, out = -1.0, np.zeros(2)
-    for angle in np.arange(angles) * np.pi / angles:
-        across = fi * np.sin(angle) + fj * np.cos(angle)
-        line = np.clip(((across + 1) / 2 * cells).astype(int), 0, cells - 1)
-        sums = np.bincount(line, points.real, cells) + 1j * np.bincount(line, points.imag, cells)
-        middle = (np.arange(cells) + 0.5) / cells * 2 - 1
-        agreed = np.real(np.exp(1j * TURN * lengths[:, None] * middle) @ sums)
-        if agreed.max() > best:
-            best, out = agreed.max(), lengths[agreed.argmax()] * np.array([np.sin(angle), np.cos(angle)])
+    angle = np.arange(angles) * np.pi / angles
+    across = fi * np.sin(angle)[:, None] + fj * np.cos(angle)[:, None]
+    line = np.clip(((across + 1) / 2 * cells).astype(int), 0, cells - 1) + np.arange(angles)[:, None] * cells
+    real, imaginary = (np.bincount(line.ravel(), np.tile(x, angles), angles * cells).reshape(angles, cells) for x in (points.real, points.imag))
+    middle = (np.arange(cells) + 0.5) / cells * 2 - 1
+    turned = TURN * middle[:, None] * lengths
+    agreed = real @ np.cos(turned) - imaginary @ np.sin(turned)
+    # directions that sum points alike agree alike but for rounding: the first counts
+    k, at = np.unravel_index(np.argmax(agreed >= agreed.max() - 1e-12 * np.abs(agreed).max()), agreed.shape)
+    out = lengths[at] * np.array([np.sin(angle[k]), np.cos(angle[k])])
     return _polished(q, w, out)
 
 
@@ -249,15 +263,16 @@ def _squares(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.asarray(a, float).reshape(side, side), np.asarray(b, float).reshape(side, side)
 
 
-def _fit(batches: Iterator[pd.DataFrame], key: str, method: str, seed: int, tapered: bool) -> Iterator[pd.DataFrame]:
+def _fit(batches: Iterator[pd.DataFrame], key: str, methods: Sequence[str], seed: int, tapered: bool, columns: Sequence[str]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for k, (a, b) in zip(batch[key], _squares(batch), strict=True):
             q, w = cross_spectrum(a, b, tapered)
-            move = METHODS[method](q, w, seed)
-            agreed = float((w * np.cos(np.angle(q * np.conj(plane(move, q.shape))))).sum() / w.sum()) if w.sum() > 0 else 0.0
-            rows.append({key: k, "di": float(move[0]), "dj": float(move[1]), "agreement": agreed})
-        yield pd.DataFrame(rows, columns=[key, "di", "dj", "agreement"])
+            for method in methods:
+                move = METHODS[method](q, w, seed)
+                agreed = float((w * np.cos(np.angle(q * np.conj(plane(move, q.shape))))).sum() / w.sum()) if w.sum() > 0 else 0.0
+                rows.append((k, method, float(move[0]), float(move[1]), agreed))
+        yield pd.DataFrame(rows, columns=[key, "method", "di", "dj", "agreement"])[list(columns)]
 
 
 def fit_planes(pairs: DataFrame, key: str, method: str = "tpss", seed: int = 1, tapered: bool = True) -> DataFrame:
@@ -266,10 +281,21 @@ def fit_planes(pairs: DataFrame, key: str, method: str = "tpss", seed: int = 1,
     ``agreement`` is the weighted mean cosine of the phases' distance from the
     plane: 1 where all lie on it. ``seed`` makes random draws repeatable.
     """
-    if method not in METHODS:
-        raise ValueError(f"no method {method}; there are {', '.join(METHODS)}")
-    kind = dict(pairs.dtypes)[key]
-    return pairs.select(key, "template_1", "template_2").mapInPandas(partial(_fit, key=key, method=method, seed=seed, tapered=tapered), f"{key} {kind}, di double, dj double, agreement double")
+    return _fitted(pairs, key, [method], seed, tapered, [key, "di", "dj", "agreement"])
+
+
+def fit_all_planes(pairs: DataFrame, key: str, methods: Sequence[str] = tuple(METHODS), seed: int = 1, tapered: bool = True) -> DataFrame:
+    """(key, method, di, dj, agreement): as ``fit_planes``, by each of the methods; a pair is read, and its spectrum made, once for all."""
+    return _fitted(pairs, key, methods, seed, tapered, [key, "method", "di", "dj", "agreement"])
+
+
+def _fitted(pairs: DataFrame, key: str, methods: Sequence[str], seed: int, tapered: bool, columns: Sequence[str]) -> DataFrame:
+    for method in methods:
+        if method not in METHODS:
+            raise ValueError(f"no method {method}; there are {', '.join(METHODS)}")
+    kinds = {key: dict(pairs.dtypes)[key], "method": "string"}
+    fit = partial(_fit, key=key, methods=list(methods), seed=seed, tapered=tapered, columns=columns)
+    return pairs.select(key, "template_1", "template_2").mapInPandas(fit, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns))
 
 
 def _points(batches: Iterator[pd.DataFrame], key: str, tapered: bool) -> Iterator[pd.DataFrame]:

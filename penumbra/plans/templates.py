@@ -12,7 +12,6 @@ from penumbra.plans.matching import templates as embedding_pairs
 from penumbra.plans.registry import register
 from penumbra.plans.tiles import COLS, GRID, grid, shape_of
 from penumbra.plans.views import read
-from penumbra.store import settle
 
 _POSTS = f"(SELECT s_suppkey AS id, (s_suppkey * 7) % {{rows}} AS i, (s_suppkey * 11) % {COLS} AS j FROM supplier)"
 _ROWS = f"(SELECT max(i) + 1 FROM {GRID})"
@@ -78,19 +77,17 @@ def phase_plane_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("phase_plane_methods")
 def phase_plane_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each method on embeddings and the same moved by a known part of a pixel: the largest error of each."""
-    e = read(spark, sf_dir, "embeddings").filter("size(embedding) = 64").select("vec_id", F.col("embedding").cast("array<double>").alias("template_1"))
-    move = (F.col("vec_id") % 7 / 10.0 - 0.3, F.col("vec_id") % 5 / 10.0 - 0.2)
-    pairs = e.select("vec_id", "template_1", _moved(F.col("template_1"), *move).alias("template_2"), move[0].alias("true_i"), move[1].alias("true_j"))
-    # the methods share the moved templates, which have few bytes and much work
+    # dealt out before templates are moved and fitted: they have few bytes and much work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = settle(pairs.repartition(parts, "vec_id"), "pairs")
-    out = None
-    for name in phase_planes.METHODS:
-        found = phase_planes.fit_planes(pairs, "vec_id", name, tapered=False).join(pairs.select("vec_id", "true_i", "true_j"), "vec_id")
-        off = F.greatest(F.abs(F.col("di") - F.col("true_i")), F.abs(F.col("dj") - F.col("true_j")))
-        worst = found.agg(F.count("*").alias("n"), F.percentile(off, F.lit(0.5)).alias("median_error")).select(F.lit(name).alias("method"), "n", F.round("median_error", 4).alias("median_error"))
-        out = worst if out is None else out.unionByName(worst)
-    return out
+    e = read(spark, sf_dir, "embeddings").filter("size(embedding) = 64 AND vec_id IS NOT NULL").select("vec_id", "embedding").repartition(parts, "vec_id", "embedding")
+    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("template_1"))
+    move = (F.col("vec_id") % 7 / 10.0 - 0.3, F.col("vec_id") % 5 / 10.0 - 0.2)
+    pairs = e.select("vec_id", "template_1", _moved(F.col("template_1"), *move).alias("template_2"))
+    off = F.greatest(F.abs(F.col("di") - move[0]), F.abs(F.col("dj") - move[1]))
+    found = phase_planes.fit_all_planes(pairs, "vec_id", tapered=False).select("method", off.alias("off"))
+    worst = found.groupBy("method").agg(F.count("*").alias("n"), F.percentile("off", F.lit(0.5)).alias("median_error"))
+    every = spark.createDataFrame([(name,) for name in phase_planes.METHODS], "method string")
+    return every.join(worst, "method", "left").select("method", F.coalesce("n", F.lit(0)).alias("n"), F.round("median_error", 4).alias("median_error"))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

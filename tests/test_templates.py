@@ -64,6 +64,30 @@ def test_fits_as_a_table(spark):
         phase_planes.fit_planes(pairs, "id", "other")
 
 
+def test_all_methods_in_one_pass(spark):
+    """As each method by itself, on a pair that is read once."""
+    rows = [(k, a.ravel().tolist(), b.ravel().tolist()) for k in range(4) for a, b in [moved_pair(12, (0.1 * k, -0.15 * k), k)]] + [(9, [1.0] * 64, [1.0] * 64)]
+    pairs = spark.createDataFrame(rows, "id long, template_1 array<double>, template_2 array<double>")
+    together = {(r["id"], r["method"]): (r["di"], r["dj"], r["agreement"]) for r in phase_planes.fit_all_planes(pairs, "id").collect()}
+    for method in ("ransac", "hough", "radon", "tpss"):
+        alone = {(r["id"], method): (r["di"], r["dj"], r["agreement"]) for r in phase_planes.fit_planes(pairs, "id", method).collect()}
+        assert alone == {k: v for k, v in together.items() if k[1] == method}
+    assert len(together) == len(rows) * len(phase_planes.METHODS)
+    with pytest.raises(ValueError):
+        phase_planes.fit_all_planes(pairs, "id", ["lsq", "other"])
+
+
+def test_methods_count_each_row_once(spark, tmp_path):
+    """Rows that share an id are not paired with each other; a table without rows names all methods."""
+    from penumbra.plans.templates import phase_plane_methods
+
+    rng = np.random.default_rng(2)
+    for name, rows in (("some", [(k // 2, rng.standard_normal(64).tolist()) for k in range(6)]), ("none", [])):
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        found = {r["method"]: r["n"] for r in phase_plane_methods(spark, f"{tmp_path}/{name}").collect()}
+        assert found == dict.fromkeys(phase_planes.METHODS, len(rows))
+
+
 def test_masked_correlation_against_every_lag():
     rng = np.random.default_rng(6)
     a, b = rng.normal(5, 1, (6, 7)), rng.normal(3, 2, (6, 7))
